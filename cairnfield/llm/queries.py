@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, topk
+from . import bpe, decontaminate, sharding, topk
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_exact_topk": topk.query,
+    "op3_decontamination": decontaminate.query,
     "op4_byte_bpe": bpe.query,
 }
 
-ORACLES = {"op2_exact_topk": topk.ORACLE}
+ORACLES = {"op2_exact_topk": topk.ORACLE, "op3_decontamination": decontaminate.ORACLE}
