@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, sharding, topk
+from . import bpe, decontaminate, language, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_exact_topk": topk.query,
     "op3_decontamination": decontaminate.query,
     "op4_byte_bpe": bpe.query,
+    "op6_toxicity": toxicity.query,
+    "op8_language_id": language.query,
 }
 
 ORACLES = {"op2_exact_topk": topk.ORACLE, "op3_decontamination": decontaminate.ORACLE}
