@@ -48,20 +48,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 400, weig
     Accelerated gradient descent with a step from the largest curvature; deterministic.
     """
     n, d = x.shape
+    x, y = x.astype(np.float32, copy=False), y.astype(np.float32)
     weight = np.full(n, 1 / n) if weight is None else weight / weight.sum()
-    v = np.ones(d + 1)
+    weight = weight.astype(np.float32)
+    v = np.ones(d + 1, np.float32)
     for _ in range(30):
         u = x @ v[:d] + v[d]
         v = np.append(x.T @ (weight * u), (weight * u).sum())
         top = np.linalg.norm(v) or 1.0
         v = v / top
     rate = 1 / (top / 4 + l2)
-    w = np.zeros((d + 1, y.shape[1]))
+    rate, l2 = np.float32(rate), np.float32(l2)
+    w = np.zeros((d + 1, y.shape[1]), np.float32)
     z, t = w.copy(), 1.0
     for _ in range(steps):
         e = (sigmoid(x @ z[:d] + z[d]) - y) * weight[:, None]
         g = np.vstack([x.T @ e + l2 * z[:d], e.sum(axis=0)])
         new = z - rate * g
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = new + (t - 1) / t2 * (new - w), new, t2
+        z, w, t = new + np.float32((t - 1) / t2) * (new - w), new, t2
     return w[:d], w[d]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, sharding, topk, toxicity
+from . import bpe, decontaminate, language, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
     "op8_language_id": language.query,
+    "op10_quality": quality.query,
 }
 
 ORACLES = {"op2_exact_topk": topk.ORACLE, "op3_decontamination": decontaminate.ORACLE}

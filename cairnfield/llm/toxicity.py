@@ -71,7 +71,7 @@ class Model:
         return ngrams.sigmoid(self.bias + np.bincount(text, weights=self.weights[ids], minlength=len(off) - 1))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", features: int = FEATURES, least_g: float = LEAST_G, l2: float = 2e-4) -> Model:
+def learn(labelled: DataFrame, text_col: str = "text", features: int = FEATURES, least_g: float = LEAST_G, l2: float = 2e-4, l2_rows: float = 0.3) -> Model:
     """A model from the rows of sample(). Without rows of both classes, every text scores the share of toxic rows (or 0)."""
 
     def run(batches):
@@ -115,7 +115,7 @@ def learn(labelled: DataFrame, text_col: str = "text", features: int = FEATURES,
         c = column[ids]
         x[i, c[c >= 0]] = 1
     x *= ratio[kept]
-    w, b = ngrams.fit_logistic(x, y[:, None], l2)
+    w, b = ngrams.fit_logistic(x, y[:, None], max(l2, l2_rows / len(y)))
     weights[kept] = w[:, 0] * ratio[kept]
     return Model(weights, float(b[0]))
 
