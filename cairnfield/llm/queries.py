@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, quality, sharding, topk, toxicity
+from . import bpe, decontaminate, jaccard_join, language, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.query,
     "op4_byte_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op8_language_id": language.query,
     "op10_quality": quality.query,
 }

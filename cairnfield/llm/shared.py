@@ -131,13 +131,14 @@ def word_hashes(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -
 def sets_of(data: np.ndarray, off: np.ndarray, k: int):
     """Per text: the sorted distinct 64-bit hashes of its k-word shingles (all its words, if fewer; none: empty)."""
     words, begin = word_hashes(data, off)
-    step = [np.uint64(2 * i + 3) * _M2 for i in range(k)]
+    step = (2 * np.arange(k, dtype=np.uint64) + np.uint64(3)) * _M2
     if len(words) >= k:
         gram = mix(sum((words[i: len(words) - k + 1 + i] * step[i] for i in range(k)), np.zeros(len(words) - k + 1, np.uint64)))
     for a, b in zip(begin[:-1], begin[1:], strict=True):
         if b - a >= k:
             yield np.unique(gram[a: b - k + 1])
         elif b > a:
-            yield mix(np.array([sum(int(words[a + i]) * int(step[i]) for i in range(b - a)) + (b - a) * 0x632BE59BD9B4E019 & (1 << 64) - 1], dtype=np.uint64))
+            few = words[a:b] * step[: b - a]
+            yield mix(few.sum(dtype=np.uint64, keepdims=True) ^ np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
