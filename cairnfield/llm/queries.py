@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, language, quality, sharding, topk, toxicity
+from . import bpe, decontaminate, jaccard_join, language, line_dedup, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_jaccard_join": jaccard_join.query,
     "op8_language_id": language.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_quality": quality.query,
 }
 
