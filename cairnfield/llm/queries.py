@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, language, line_dedup, quality, sharding, topk, toxicity
+from . import bpe, decontaminate, jaccard_join, language, line_dedup, quality, sharding, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_exact_topk": topk.query,
     "op3_decontamination": decontaminate.query,
     "op4_byte_bpe": bpe.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_toxicity": toxicity.query,
     "op7_jaccard_join": jaccard_join.query,
     "op8_language_id": language.query,
