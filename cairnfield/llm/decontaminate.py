@@ -58,8 +58,8 @@ def _windows(df: DataFrame, lengths: list[int], keep: list[str], among: str | No
     return df.select(*keep, F.explode(F.concat(*(of(n) for n in lengths))).alias("w")).select(*keep, "w.*")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per document row: id, n_words, n_hit (words inside a benchmark window), spans, items, contaminated.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS, keep_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: id, keep_cols, n_words, n_hit (words inside a benchmark window), spans, items, contaminated.
 
     `spans` are the merged hit runs (start from 0, length), `items` the ids, as strings in order, of items with a window in
     the document. contaminated: at least one hit word and at least a twentieth of all words. Null texts have no
@@ -76,7 +76,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     small = known.count() <= broadcast_rows
     side = F.broadcast if small else (lambda df: df)
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__uid", F.xxhash64("__id", "__text"))
+    extra = [f"__k{n}" for n in range(len(keep_cols))]
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(x) for x, c in zip(extra, keep_cols, strict=True))).withColumn("__uid", F.xxhash64("__id", "__text"))
     prints = _with_prints(rows.filter(F.length("__text") > 0).select("__uid", word_array(F.col("__text")).alias("words")), short)
     hits = (
         prints.select("__uid", F.explode(F.array_distinct(F.concat(*(F.col(f"p{n}") for n in lengths)))).alias("print"))
@@ -98,10 +99,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     found = equal.groupBy("__uid").agg(merged.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     none = F.array()
     return (
-        rows.select("__id", "__uid", F.coalesce(F.regexp_count("__text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+        rows.select("__id", "__uid", *extra, F.coalesce(F.regexp_count("__text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
         .join(found, "__uid", "left")
         .select(
             F.col("__id").alias(id_col),
+            *(F.col(x).alias(c) for x, c in zip(extra, keep_cols, strict=True)),
             "n_words",
             F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (x["end"] - x["start"]).alias("length"))), none.cast("array<struct<start:int,length:int>>")).alias("spans"),

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import components, shared
 
@@ -38,16 +39,17 @@ def digest(hashes: np.ndarray) -> int:
 
 def _summary(k: int):
     def run(batches):
-        held, seen, n = [], set(), 0
+        held, seen, n, kind = [], set(), 0, None
 
         def counted():
             tokens, count = np.unique(np.concatenate(held), return_counts=True)
             at = count >= LEAST_LOCAL
             m = int(at.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(count[at].astype(np.int64)), pa.array(tokens[at].astype(np.int64))], names=["kind", "id", "n", "hash"])
+            return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, kind), pa.array(count[at].astype(np.int64)), pa.array(tokens[at].astype(np.int64))], names=["kind", "id", "n", "hash"])
 
         for batch in batches:
             ids = batch.column(0)
+            kind = ids.type
             data, off = shared.utf8(batch.column(1))
             for i, j in shared.blocks(off):
                 size, which = [], []
@@ -102,16 +104,18 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, count: np.ndarray, percent:
     return hashes[order[: s - need + best]], best
 
 
-def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: id, n_shingles (set size), component_id (smallest id reachable by links, itself included).
+def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: id, keep_cols, n_shingles (set size), component_id (smallest id reachable by links, itself included).
 
     Documents link when their sets' Jaccard similarity is at least percent / 100. Null texts and texts without words have
     empty sets and link with nothing; texts of fewer than k words are one shingle. Repeated rows link with each
     other; null ids never become a component's id unless all its ids are null. Other columns of docs are dropped.
     """
-    docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    facts = shared.stored(docs.mapInArrow(_summary(k), docs.select(F.lit(0).alias("kind"), F.col("__id").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("hash")).schema))
-    rows = facts.filter("kind = 0").select(F.col("id").alias("__id"), F.col("n").alias("n_shingles"), "hash")
+    extra = [f"__k{n}" for n in range(len(keep_cols))]
+    docs = docs.select(F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(x) for x, c in zip(extra, keep_cols, strict=True))).alias("__row"), F.col(text_col).alias("__text"), F.col(id_col).alias("__id"))
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", docs.schema["__row"].dataType), T.StructField("n", T.LongType()), T.StructField("hash", T.LongType())])
+    facts = shared.stored(docs.select("__row", "__text").mapInArrow(_summary(k), schema))
+    rows = facts.filter("kind = 0").select(F.col("id.id").alias("__id"), *(F.col(f"id.{x}").alias(x) for x in extra), F.col("n").alias("n_shingles"), "hash")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(facts.filter("kind = 1")))
     classes = rows.filter("n_shingles > 0").groupBy("hash").agg(F.min("__id").alias("first"))
 
@@ -176,7 +180,7 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = classes.join(least, "component").select(F.col("hash").alias("__h"), "component_id")
     return rows.join(classes, (F.col("hash") == F.col("__h")) & (F.col("n_shingles") > 0), "left").select(
-        F.col("__id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("__id")).otherwise(F.col("component_id")).alias("component_id")
+        F.col("__id").alias(id_col), *(F.col(x).alias(c) for x, c in zip(extra, keep_cols, strict=True)), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("__id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 

@@ -180,21 +180,22 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep_from: float = KEEP_FROM, site_weight: float = SITE_WEIGHT) -> DataFrame:
-    """Per document: id, p_doc, host_rate, path_rate, score (0 to 1), keep. A row for each row of docs.
+def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep_from: float = KEEP_FROM, site_weight: float = SITE_WEIGHT, keep_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: id, keep_cols, p_doc, host_rate, path_rate, score (0 to 1), keep. A row for each row of docs.
 
     Null and empty texts are judged by their (empty) features; null hosts and paths are sites of their own; documents with
     a null id have no label. Repeated rows count as often as they occur. Empty docs: no rows. Empty labels: see learn().
     """
     model = learn(docs, labels, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col).alias("__id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("__t"))
-    judged = shared.stored(classify(rows, model, ["__id", "host", "path"], "__t"))
+    rows = docs.select(F.col(id_col).alias("__id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("__t"), *(F.col(c).alias(f"__k{n}") for n, c in enumerate(keep_cols)))
+    extra = [f"__k{n}" for n in range(len(keep_cols))]
+    judged = shared.stored(classify(rows, model, ["__id", "host", "path", *extra], "__t"))
     labelled = judged.join(one_label(labels, id_col, label_col), F.col("__id") == F.col("__lid"), "left")
     sites = site_posteriors(labelled.select("host", "path", F.coalesce(F.col("__label").cast("double"), F.col("p_doc")).alias("good")))
     sites = sites.withColumnsRenamed({"host": "h", "path": "p"})
     joined = judged.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
     score = 1 / (1 + F.exp(-(_logit(F.col("p_doc")) + site_weight * (_logit(F.col("path_rate")) - _logit(F.col("global_rate"))))))
-    return joined.select(F.col("__id").alias(id_col), "p_doc", "host_rate", "path_rate", score.alias("score")).withColumn("keep", F.col("score") >= keep_from)
+    return joined.select(F.col("__id").alias(id_col), *(F.col(x).alias(c) for x, c in zip(extra, keep_cols, strict=True)), "p_doc", "host_rate", "path_rate", score.alias("score")).withColumn("keep", F.col("score") >= keep_from)
 
 
 def document_sites() -> tuple[Column, Column]:
