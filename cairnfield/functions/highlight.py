@@ -7,6 +7,7 @@ from html import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW_CHARS, SLACK_CHARS = 360, 80
 
@@ -54,6 +55,6 @@ def passage(query: str | None, text: str | None, size: int = WINDOW_CHARS) -> st
     return re.sub(rf"\b({'|'.join(map(re.escape, wanted))})\b", r"<mark>\1</mark>", safe, flags=re.IGNORECASE)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def highlight(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([passage(q, t) for q, t in zip(query, text, strict=True)], dtype=object)

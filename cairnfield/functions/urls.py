@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote_plus, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Parameters that never change what a page shows, and those of paging with their first-page values.
 TRACKING_PREFIXES = ("utm_", "_gcl")
@@ -44,7 +45,7 @@ def canonical(url: str | None) -> str | None:
     return f"{parts.scheme}://{authority}{path}" + (f"?{query}" if query else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_url(url: pd.Series) -> pd.Series:
     return url.map(canonical, na_action="ignore")
 
@@ -56,7 +57,7 @@ def _joined(base: str | None, href: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """href as seen from the page base."""
     return pd.Series([_joined(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
