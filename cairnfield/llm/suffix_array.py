@@ -6,10 +6,13 @@ import numpy as np
 
 from . import shared
 
+#: Symbols that are compared at once, by their hashes; the last step compares one.
+STRIDES = (128, 32, 8, 1)
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is S-type (smaller than the next one); the last symbol is the unique smallest."""
-    step = np.sign(np.diff(s))
+    step = np.sign(np.diff(s.astype(np.int32)))
     at = np.where(step != 0, np.arange(len(step)), len(step))
     nearest = np.minimum.accumulate(at[::-1])[::-1]  # the next place where neighbours differ
     return np.append(np.append(step, 1)[nearest] > 0, True)
@@ -20,7 +23,7 @@ def _deal(at: np.ndarray, s: np.ndarray, to: list[list[np.ndarray]]) -> None:
     if not len(at):
         return
     symbol = s[at]
-    order = np.argsort(symbol, kind="stable")
+    order = np.argsort(symbol, kind="stable")  # a radix sort for 16-bit symbols
     at, symbol = at[order], symbol[order]
     cuts = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
     begin = [0, *cuts.tolist()]
@@ -91,8 +94,8 @@ def suffix_array(s: np.ndarray, large: int = 512) -> np.ndarray:
     Leftmost-smaller substrings are sorted by a first induction and named; equal names are resolved on the string of
     names - by the same steps, or by doubling once its alphabet is larger than `large`; a second induction orders all.
     """
-    s = s.astype(np.int64)
     n, size = len(s), int(s.max()) + 1
+    s = s.astype(np.int16 if size < 1 << 15 else np.int64)
     small = _types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
     if len(lms) <= 1:
@@ -119,16 +122,23 @@ def suffix_array(s: np.ndarray, large: int = 512) -> np.ndarray:
     return _induce(s, small, order.astype(np.int32), size)
 
 
-def common_prefixes(s: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def common_prefixes(s: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Permuted common prefixes of chosen suffixes: for each text (starting at starts, with its first counts suffixes) the length
-    that suffix shares with its predecessor in the array. Returns (positions, lengths).
+    that suffix shares with its predecessor in the array, `most` at most. Returns (positions, lengths).
 
     In text order, a suffix shares at least one symbol less than the one before it, so each text is walked once; all texts
-    of the shard are walked side by side.
+    of the shard are walked side by side, by STRIDE symbols (whose 64-bit hashes are compared) and then by one.
     """
-    before = np.full(len(s), -1, np.int64)
+    n = len(s)
+    before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    n, shared_now = len(s), np.zeros(len(starts), np.int64)
+    most = n if most is None else most
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s.astype(np.uint64) + np.uint64(1)) * shared.powers(n), dtype=np.uint64)])
+    strides = []
+    for step in STRIDES:
+        at = np.arange(max(0, n - step + 1))
+        strides.append((step, (total[at + step] - total[at]) * shared.powers(n)[n - 1 - at] if len(at) else total[:0]))
+    shared_now = np.zeros(len(starts), np.int64)
     places, lengths = [], []
     for r in range(int(counts.max(initial=0))):
         on = np.flatnonzero(counts > r)
@@ -136,12 +146,15 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, starts: np.ndarray, counts
         j = before[i]
         length = np.maximum(shared_now[on] - 1, 0)
         length[j < 0] = 0
-        grow = np.flatnonzero(j >= 0)
-        while len(grow):
-            a, b = i[grow] + length[grow], j[grow] + length[grow]
-            ok = (a < n) & (b < n)
-            grow = grow[ok][s[a[ok]] == s[b[ok]]]
-            length[grow] += 1
+        reach = np.minimum(n - np.maximum(i, j), most)
+        reach[j < 0] = 0
+        for step, of in strides:
+            grow = np.flatnonzero(length + step <= reach)
+            while len(grow):
+                now = length[grow]
+                grow = grow[of[i[grow] + now] == of[j[grow] + now]]
+                length[grow] += step
+                grow = grow[length[grow] + step <= reach[grow]]
         shared_now[on] = length
         places.append(i)
         lengths.append(length)

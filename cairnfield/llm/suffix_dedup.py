@@ -10,7 +10,8 @@ Each byte covered by a string of LENGTH bytes that also starts anywhere else goe
 3. What is left are anchors with different contexts: edges of passages, near copies. One copy of each such context goes
    to the shard of its anchor; the shard's suffix array is induced, permuted common prefixes are computed,
    and runs of suffixes that share LENGTH bytes from different places of the corpus are repeats.
-   An anchor with more than HOT contexts would overload its shard: its windows are spread by their hashes instead.
+   An anchor with more than HOT contexts would overload its shard: its windows are found by halving ranges of starts,
+   each range being kept while what all its windows share occurs twice, and done when what they cover together does.
 4. Repeats are merged per document and cut from its bytes.
 """
 
@@ -27,7 +28,7 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH = 400
 #: Bytes of contexts in a shard, contexts of one anchor beyond which it does not go to a shard, and
 #: contexts up to which their list is broadcast (30 MB).
-SHARD_BYTES, HOT, BROADCAST_ROWS = 2_000_000, 1500, 500_000
+SHARD_BYTES, HOT, BROADCAST_ROWS = 2_000_000, 3000, 500_000
 
 _BASES = (int(shared._BASE), 0xD1342543DE82EF95)
 
@@ -62,11 +63,11 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, position, context begin, context end) of the anchors of one text."""
+    """(anchor hash, context hash, position, bytes of the context after it) of the anchors of one text."""
     n, gram = len(data), length // 2
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z
+        return z.astype(np.uint64), z.astype(np.uint64), z, z
     sums = _sums(data, 0)
     at = np.arange(n - gram + 1)
     h = _hash(sums, at, at + gram, 0)
@@ -76,7 +77,7 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), width, np.maximum) == h)
     begin, end = np.maximum(at - (length - gram), 0), np.minimum(at + length, n)
     context = _hash(sums, begin, end, 0) ^ shared.mix(_hash(_sums(data, 1), begin, end, 1) + ((at - begin) << 32 | (end - at)).astype(np.uint64))
-    return h[at], context, at, begin, end
+    return h[at], context, at, end - at
 
 
 def _places(length: int):
@@ -86,9 +87,9 @@ def _places(length: int):
             uid = batch.column(0).to_numpy()
             for i, j in shared.blocks(off):
                 found = [anchors(data[off[r]: off[r + 1]], length) for r in range(i, j)]
-                h, c, at, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+                h, c, at, rest = (np.concatenate(x) for x in zip(*found, strict=True))
                 u = np.repeat(uid[i:j], [len(x[0]) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(u), *(pa.array(x.astype(np.int32)) for x in (at, begin, end))], names=["h", "c", "uid", "at", "begin", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(u), *(pa.array(x.astype(np.int32)) for x in (at, rest))], names=["h", "c", "uid", "at", "rest"])
 
     return run
 
@@ -99,16 +100,17 @@ def _cut_out(batches):
         data, off = shared.utf8(batch.column(1))
         wanted = batch.column(2).to_pylist()
         uids = batch.column(0).to_pylist()
-        h, u, begin, flag, piece = [], [], [], [], []
+        h, u, at, begin, flag, piece = [], [], [], [], [], []
         for r, places in enumerate(wanted):
             text = data[off[r]: off[r + 1]]
             for p in places:
                 h.append(p["h"])
                 u.append(uids[r])
+                at.append(p["at"])
                 begin.append(p["begin"])
                 flag.append(p["whole"])
                 piece.append(text[p["begin"]: p["end"]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(u, pa.int64()), pa.array(begin, pa.int32()), pa.array(flag, pa.bool_()), pa.array(piece, pa.binary())], names=["h", "uid", "begin", "whole", "piece"])
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(u, pa.int64()), pa.array(at, pa.int32()), pa.array(begin, pa.int32()), pa.array(flag, pa.bool_()), pa.array(piece, pa.binary())], names=["h", "uid", "at", "begin", "whole", "piece"])
 
 
 def _runs(at: np.ndarray, repeated: np.ndarray, text: np.ndarray, first: np.ndarray, length: int):
@@ -135,7 +137,7 @@ def _shard(length: int):
         s[-1] = 0
         order = suffix_array(s)
         counts = np.maximum(size - length + 1, 0)
-        places, shares = common_prefixes(s, order, first, counts)
+        places, shares = common_prefixes(s, order, first, counts, length)
         text = np.repeat(np.arange(len(size)), counts)
         offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = first[text] + offset
@@ -161,53 +163,93 @@ def _shard(length: int):
     return run
 
 
-def _windows(length: int):
-    """Hashes of all windows of hot contexts."""
+def _halves(length: int):
+    """Both halves of each range [lo, hi] of window starts (from the anchor): hashes of what its windows share and what they cover."""
 
     def run(batches):
         for batch in batches:
             data, off = shared.utf8(batch.column("piece"))
-            uid, begin, flag = batch.column("uid").to_numpy(), batch.column("begin").to_numpy(), batch.column("whole").to_numpy(zero_copy_only=False)
-            for r in range(len(uid)):
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "uid", "at", "begin", "whole", "lo", "hi")}
+            out = {c: [] for c in ("h", "uid", "at", "whole", "lo", "hi", "core", "all")}
+            for r in range(batch.num_rows):
                 text = data[off[r]: off[r + 1]]
-                at = np.arange(max(0, len(text) - length + 1))
-                w = [_hash(_sums(text, k), at, at + length, k).astype(np.int64) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), pa.array(np.full(len(at), uid[r])), pa.array((begin[r] + at).astype(np.int32)), pa.array(np.full(len(at), flag[r]))], names=["w1", "w2", "uid", "at", "whole"])
+                shift = int(col["at"][r] - col["begin"][r])  # the anchor's place in the piece
+                sums = [_sums(text, k) for k in (0, 1)]
+
+                def of(a, b, text=text, sums=sums):
+                    x, y = (int(_hash(sums[k], np.array([a]), np.array([b]), k)[0]) for k in (0, 1))
+                    return x ^ (y * 3 + b - a) & 0xFFFFFFFFFFFFFFFF
+
+                lo, hi = int(col["lo"][r]), int(col["hi"][r])
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)) if lo < hi else ((lo, hi),):
+                    if shift + b < 0 or shift + a + length > len(text):
+                        continue  # no window of this range lies in the text
+                    fits = shift + a >= 0 and shift + b + length <= len(text)
+                    if a == b and not fits:
+                        continue
+                    for c in ("h", "uid", "at", "whole"):
+                        out[c].append(col[c][r])
+                    out["lo"].append(a)
+                    out["hi"].append(b)
+                    out["core"].append(of(shift + b, shift + a + length) - (1 << 63))
+                    out["all"].append(of(shift + a, shift + b + length) - (1 << 63) if fits else None)
+            kinds = {"h": pa.int64(), "uid": pa.int64(), "at": pa.int32(), "whole": pa.bool_(), "lo": pa.int32(), "hi": pa.int32(), "core": pa.int64(), "all": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], kinds[c]) for c in out], names=list(out))
 
     return run
 
 
+def _halving(pieces: DataFrame, length: int) -> DataFrame:
+    """(uid, begin, end) of the repeats among the contexts of hot anchors. Levels: the logarithm of the windows of a context.
+
+    Of the ranges that are known to repeat as a whole, one of each kind stays as a partner for others.
+    """
+    ranges = pieces.select("h", "uid", "at", F.lit(length // 2 - length).alias("lo"), F.lit(0).alias("hi"))
+    found = None
+    for _ in range((length - length // 2).bit_length() + 1):
+        halves = pieces.join(ranges, ["h", "uid", "at"]).select("h", "uid", "at", "begin", "whole", "lo", "hi", "piece").mapInArrow(_halves(length), "h long, uid long, at int, whole boolean, lo int, hi int, core long, all long")
+        halves = shared.stored(halves)
+        cores = halves.groupBy("h", "lo", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        covers = halves.filter("all is not null").groupBy("h", "lo", "all").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("u"), F.min_by("at", "uid").alias("t")).filter("n > 1").drop("n")
+        covers = covers.withColumnRenamed("all", "a")
+        state = halves.join(cores, ["h", "lo", "core"], "left_semi").alias("x").join(covers.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.all") == F.col("y.a")), "left")
+        state = shared.stored(state.select("x.*", F.col("a").isNotNull().alias("done"), ((F.col("x.uid") == F.col("u")) & (F.col("x.at") == F.col("t"))).alias("first")))
+        new = state.filter("done and not whole").select("uid", (F.col("at") + F.col("lo")).alias("begin"), (F.col("at") + F.col("hi") + length).alias("end"))
+        found = new if found is None else found.unionByName(new)
+        ranges = state.filter("lo < hi and (not done or first)").select("h", "uid", "at", "lo", "hi")
+    return found
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """(uid, begin, end): byte spans (they may overlap) that together cover all repeats. rows: uid, text (distinct uid, or equal rows)."""
-    occ = shared.stored(rows.mapInArrow(_places(length), "h long, c long, uid long, at int, begin int, end int"))
+    begin = F.greatest(F.col("at") - (length - length // 2), F.lit(0))
+    occ = shared.stored(rows.mapInArrow(_places(length), "h long, c long, uid long, at int, rest int"))
     by_anchor = occ.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("contested")).filter("n > 1").select(F.col("h").alias("__h"), "contested")
     occ = shared.stored(occ.join(by_anchor, F.col("h") == F.col("__h")).drop("__h"))
-    contexts = occ.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("contested").alias("contested"), F.min(F.struct("uid", "at", "begin", "end")).alias("rep"))
+    contexts = occ.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.max("contested").alias("contested"), F.min("uid").alias("uid"), F.min_by("at", "uid").alias("at"), F.max("rest").alias("rest"))
     contexts = shared.stored(contexts)
     twice = contexts.filter("n > 1").select(F.col("h").alias("__h"), F.col("c").alias("__c"))
-    whole = occ.join(twice, (F.col("h") == F.col("__h")) & (F.col("c") == F.col("__c"))).select("uid", "begin", "end")
+    whole = occ.join(twice, (F.col("h") == F.col("__h")) & (F.col("c") == F.col("__c"))).select("uid", begin.alias("begin"), (F.col("at") + F.col("rest")).alias("end"))
 
     open_ = contexts.filter("contested")
     many = open_.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max((F.col("n") == 1).cast("int")).alias("any"))
     many = many.filter("any = 1").select(F.col("h").alias("__h"), "m")  # contexts that occur twice need nothing more
-    open_ = open_.join(many, F.col("h") == F.col("__h")).select("rep.uid", F.struct("h", "rep.begin", "rep.end", (F.col("n") > 1).alias("whole")).alias("place"), "m", "h")
+    open_ = open_.join(many, F.col("h") == F.col("__h")).select("uid", F.struct("h", "at", begin.alias("begin"), (F.col("at") + F.col("rest")).alias("end"), (F.col("n") > 1).alias("whole")).alias("place"), "m", "h")
     open_ = shared.stored(open_)
     places = open_.groupBy("uid").agg(F.collect_list("place").alias("places")).withColumnRenamed("uid", "__u")
     total = open_.count()
     if total <= BROADCAST_ROWS:
         places = F.broadcast(places)
     texts = rows.dropDuplicates(["uid"]) if total > BROADCAST_ROWS else rows
-    pieces = texts.join(places, F.col("uid") == F.col("__u")).select("uid", "text", "places").mapInArrow(_cut_out, "h long, uid long, begin int, whole boolean, piece binary")
+    pieces = texts.join(places, F.col("uid") == F.col("__u")).select("uid", "text", "places").mapInArrow(_cut_out, "h long, uid long, at int, begin int, whole boolean, piece binary")
     large = open_.filter(F.col("m") > hot).select(F.col("h").alias("__h")).distinct()
-    pieces = shared.stored(pieces.join(large.withColumn("hot", F.lit(True)), F.col("h") == F.col("__h"), "left").drop("__h").dropDuplicates(["h", "uid", "begin"]))
+    pieces = shared.stored(pieces.join(large.withColumn("hot", F.lit(True)), F.col("h") == F.col("__h"), "left").drop("__h").dropDuplicates(["h", "uid", "at"]))
     shards = max(1, -(-total * length * 3 // 2 // shard_bytes))
-    in_shards = pieces.filter("hot is null").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    in_shards = pieces.filter("hot is null").drop("at").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     sorted_ = in_shards.groupBy("shard").applyInArrow(_shard(length), "uid long, begin int, end int")
-    windows = pieces.filter("hot").select("uid", "begin", "whole", "piece").mapInArrow(_windows(length), "w1 long, w2 long, uid long, at int, whole boolean")
-    key = F.struct("uid", "at")
-    again = windows.groupBy("w1", "w2").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"))
-    spread = windows.filter("not whole").join(again, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).select("uid", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
-    return whole.unionByName(sorted_).unionByName(spread)
+    out = whole.unionByName(sorted_)
+    return out if large.isEmpty() else out.unionByName(_halving(pieces.filter("hot"), length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
