@@ -43,11 +43,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def clusters(postings: DataFrame, near, verify, stars: int = 2) -> DataFrame:
+def clusters(postings: DataFrame, near, verify, enough, stars: int = 2) -> DataFrame:
     """Components of the items linked by verify(), among pairs that near() admits: (node, component) of linked items.
 
-    postings: (key, node, ...), a row for each key of an item; near(a, b, n) says whether two postings' items (columns by
-    prefixes a_ and b_, n: the number of keys they share) are candidates; verify(pairs) returns the pairs (a, b) that are links.
+    postings: (key, node, ...), a row for each key of an item; near() says whether two postings' items (columns by prefixes a_
+    and b_) can be linked - it becomes part of the join's condition; enough(n) whether n shared keys make a candidate;
+    verify(pairs) returns the pairs (a, b) that are links.
     No link between different components is lost: the first rounds verify, per key, one pivot against the others, which
     joins most groups at linear cost; the last round takes every candidate pair whose items are not connected yet.
     """
@@ -66,11 +67,11 @@ def clusters(postings: DataFrame, near, verify, stars: int = 2) -> DataFrame:
         if turn < stars:
             a = a.filter("a_node = pivot").drop("pivot")
         b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in ("node", "component", *others)))
-        met = a.join(b, "key").filter(F.col("a_component") != F.col("b_component"))
+        met = a.join(b, "key").filter((F.col("a_component") != F.col("b_component")) & near())
         if turn == stars:
             met = met.filter("a_node < b_node")
         of = ["a_node", "b_node", *(f"a_{c}" for c in others), *(f"b_{c}" for c in others)]
-        pairs = met.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).filter(near(F.col("n"))).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        pairs = met.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).filter(enough(F.col("n"))).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = shared.cut(pairs)

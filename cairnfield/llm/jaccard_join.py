@@ -6,6 +6,8 @@ is chosen by estimated cost: a longer prefix meets more postings, but asks for l
 verified; documents whose short prefix is full of frequent shingles take a larger l. A pair is a candidate if it shares
 min(l, l') shingles of both prefixes; candidates are verified on whole sets.
 
+Shingles meet within size classes alone, as sets of very unequal size cannot be similar.
+
 Equal sets are one class from the start; only classes are joined, and a group of near copies is connected through
 pivots before all that remains unconnected is compared.
 
@@ -15,6 +17,8 @@ LEAST_LOCAL. The order never changes results, only the work. Sets are known by 6
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -148,6 +152,12 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     shared_keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("__k"))
     postings = shared.stored(postings.join(shared_keys, F.col("key") == F.col("__k"), "left_semi"))
 
+    # Sets of linked documents differ in size by at most the similarity: they share a size class, or neighbouring ones.
+    level = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) + 1e-6) if percent < 100 else F.col("size")
+    postings = postings.select(F.explode(F.array(F.xxhash64("key", level), F.xxhash64("key", level + 1))).alias("key"), "node", "size", "matches")
+    shared_keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("__k"))
+    postings = shared.stored(postings.join(shared_keys, F.col("key") == F.col("__k"), "left_semi"))
+
     wanted = postings.select("node").distinct().join(classes, F.col("node") == F.col("hash")).select(F.col("first"), "node")
     wanted = shared.cut(wanted)
     ids = wanted.select("first").distinct()
@@ -166,8 +176,11 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     sets = sets.join(F.broadcast(wanted.select("node")) if wanted.count() <= BROADCAST_IDS else wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = shared.stored(sets)
 
-    def near(n):
-        return (n >= F.least("a_matches", "b_matches")) & (100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
+    def near():
+        return 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+
+    def enough(n):
+        return n >= F.least("a_matches", "b_matches")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
@@ -175,7 +188,7 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
         both = F.size(F.array_intersect("a_set", "b_set"))
         return pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
-    linked = components.clusters(postings, near, verify)
+    linked = components.clusters(postings, near, verify, enough)
     classes = classes.join(linked, F.col("hash") == F.col("node"), "left").withColumn("component", F.coalesce("component", "hash")).drop("node")
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = classes.join(least, "component").select(F.col("hash").alias("__h"), "component_id")

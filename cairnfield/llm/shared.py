@@ -37,6 +37,8 @@ def stored(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed Parquet: for wider or larger intermediate tables."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the finished job's shuffle files go when the driver collects its garbage; long jobs would keep all stages' files until then
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
