@@ -60,7 +60,11 @@ def published_at(meta: Column | None, html: Column, as_of: datetime) -> Column:
         ),
     )
     tags = F.filter(tags, lambda t: t["key"].isNotNull() & t["content"].isNotNull())
+
+    def stated(key: str) -> Column:
+        return F.get(F.filter(tags, lambda t: t["key"] == key), F.lit(0))["content"]
+
     # of each key the first tag speaks; of the keys, the first in order whose date parses
-    dated = [parse_iso_date(F.get(F.filter(tags, lambda t, k=k: t["key"] == k), F.lit(0))["content"], as_of) for k in DATE_META_KEYS]
+    dated = [parse_iso_date(stated(k), as_of) for k in DATE_META_KEYS]
     linked = parse_iso_date(F.regexp_extract(head, r'(?i)"datePublished"\s*:\s*"([^"]+)"', 1), as_of)
     return F.coalesce(*candidates, *dated, linked)
