@@ -88,6 +88,16 @@ def _ranked(names: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+def _prefix_sums(s: np.ndarray) -> np.ndarray:
+    """Sums of symbols times powers, before each place; made in one array, as shards should take little memory."""
+    out = np.empty(len(s) + 1, np.uint64)
+    out[0] = 0
+    out[1:] = s
+    out[1:] += np.uint64(1)
+    out[1:] *= shared.powers(len(s))
+    return np.cumsum(out, out=out)
+
+
 def suffix_array(s: np.ndarray, large: int = 512) -> np.ndarray:
     """Suffix array (int32) of integer symbols of which the last is the unique smallest, 0.
 
@@ -106,7 +116,7 @@ def suffix_array(s: np.ndarray, large: int = 512) -> np.ndarray:
     order = order[is_lms[order]]
     # substrings run to the next leftmost-smaller position; equality by length and a 64-bit hash
     power = shared.powers(n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
+    total = _prefix_sums(s)
     after = np.append(lms[1:], n - 1)
     stop = np.zeros(n, np.int64)
     stop[lms] = np.minimum(after + 1, n)
@@ -130,29 +140,30 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, starts: np.ndarray, counts
     of the shard are walked side by side, by STRIDE symbols (whose 64-bit hashes are compared) and then by one.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     most = n if most is None else most
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s.astype(np.uint64) + np.uint64(1)) * shared.powers(n), dtype=np.uint64)])
-    strides = []
-    for step in STRIDES:
-        at = np.arange(max(0, n - step + 1))
-        strides.append((step, (total[at + step] - total[at]) * shared.powers(n)[n - 1 - at] if len(at) else total[:0]))
+    total = _prefix_sums(s)
+    power = shared.powers(n)
+
+    def of(at: np.ndarray, step: int) -> np.ndarray:
+        return (total[at + step] - total[at]) * power[n - 1 - at]
+
     shared_now = np.zeros(len(starts), np.int64)
     places, lengths = [], []
     for r in range(int(counts.max(initial=0))):
         on = np.flatnonzero(counts > r)
         i = starts[on] + r
-        j = before[i]
+        j = before[i].astype(np.int64)
         length = np.maximum(shared_now[on] - 1, 0)
         length[j < 0] = 0
         reach = np.minimum(n - np.maximum(i, j), most)
         reach[j < 0] = 0
-        for step, of in strides:
+        for step in STRIDES:
             grow = np.flatnonzero(length + step <= reach)
             while len(grow):
                 now = length[grow]
-                grow = grow[of[i[grow] + now] == of[j[grow] + now]]
+                grow = grow[of(i[grow] + now, step) == of(j[grow] + now, step)]
                 length[grow] += step
                 grow = grow[length[grow] + step <= reach[grow]]
         shared_now[on] = length

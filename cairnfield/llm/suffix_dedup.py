@@ -27,8 +27,8 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 400
 #: Bytes of contexts in a shard, contexts of one anchor beyond which it does not go to a shard, and
-#: contexts up to which their list is broadcast (30 MB).
-SHARD_BYTES, HOT, BROADCAST_ROWS = 2_000_000, 3000, 500_000
+#: contexts up to which their list is broadcast (6 MB).
+SHARD_BYTES, HOT, BROADCAST_ROWS = 2_000_000, 10_000, 100_000
 
 _BASES = (int(shared._BASE), 0xD1342543DE82EF95)
 
@@ -130,10 +130,10 @@ def _shard(length: int):
         size = np.diff(off)
         # texts one after another, a 1 after each, and the unique smallest symbol at the end
         first = off[:-1] - off[0] + np.arange(len(size))
-        s = np.ones(int(size.sum()) + len(size) + 1, np.int64)
+        s = np.ones(int(size.sum()) + len(size) + 1, np.int16)
         inside = np.ones(len(s), bool)
         inside[first + size] = inside[-1] = False
-        s[inside] = data[off[0]: off[-1]].astype(np.int64) + 2
+        s[inside] = data[off[0]: off[-1]].astype(np.int16) + 2
         s[-1] = 0
         order = suffix_array(s)
         counts = np.maximum(size - length + 1, 0)
@@ -141,12 +141,12 @@ def _shard(length: int):
         text = np.repeat(np.arange(len(size)), counts)
         offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = first[text] + offset
-        by_place = np.zeros(len(s), np.int64)
+        by_place = np.zeros(len(s), np.int32)
         by_place[places] = shares
         # suffixes that can start a window, in suffix order; a class is a run in which each shares `length` symbols with the last
         can = np.zeros(len(s), bool)
         can[starts] = True
-        owner = np.zeros(len(s), np.int64)
+        owner = np.zeros(len(s), np.int32)
         owner[starts] = text
         o = order[can[order]]
         cls = np.cumsum(by_place[o] < length)
