@@ -62,7 +62,8 @@ def clusters(postings: DataFrame, near, verify, enough, stars: int = 2) -> DataF
             rows = rows.withColumn("component", F.col("node"))
         keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
         keys = keys.filter("lo < hi").select(F.col("key").alias("__key"), "pivot")
-        rows = shared.cut(rows.join(keys, F.col("key") == F.col("__key")).drop("__key"))
+        rows = shared.stored(rows.join(keys, F.col("key") == F.col("__key")).drop("__key"))
+        postings = rows.drop("component", "pivot")  # keys whose items are all connected stay so
         a = rows.select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "component", *others)), *(["pivot"] if turn < stars else []))
         if turn < stars:
             a = a.filter("a_node = pivot").drop("pivot")
