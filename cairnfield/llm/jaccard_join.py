@@ -158,12 +158,6 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     shared_keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("__k"))
     postings = shared.stored(postings.join(shared_keys, F.col("key") == F.col("__k"), "left_semi"))
 
-    wanted = postings.select("node").distinct().join(classes, F.col("node") == F.col("hash")).select(F.col("first"), "node")
-    wanted = shared.cut(wanted)
-    ids = wanted.select("first").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-
     def whole_sets(batches):
         for batch in batches:
             data, off = shared.utf8(batch.column(0))
@@ -172,9 +166,13 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int64)))], names=["node", "set"])
 
-    sets = docs.join(ids, F.col("__id").eqNullSafe(F.col("first")), "left_semi").select("__text").mapInArrow(whole_sets, "node long, set array<long>")
-    sets = sets.join(F.broadcast(wanted.select("node")) if wanted.count() <= BROADCAST_IDS else wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = shared.stored(sets)
+    def sets_of_nodes(nodes: DataFrame) -> DataFrame:
+        """(node, set): the whole sets of these classes, from one document of each."""
+        wanted = shared.cut(nodes.join(classes, F.col("node") == F.col("hash")).select("first", "node"))
+        few = wanted.count() <= BROADCAST_IDS
+        ids, keys = wanted.select("first").distinct(), wanted.select("node")
+        found = docs.join(F.broadcast(ids) if few else ids, F.col("__id").eqNullSafe(F.col("first")), "left_semi").select("__text").mapInArrow(whole_sets, "node long, set array<long>")
+        return shared.stored(found.join(F.broadcast(keys) if few else keys, "node", "left_semi").dropDuplicates(["node"]))
 
     def near():
         return 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
@@ -183,6 +181,8 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
         return n >= F.least("a_matches", "b_matches")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        # sets move for candidates alone
+        sets = sets_of_nodes(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
         both = F.size(F.array_intersect("a_set", "b_set"))
