@@ -8,6 +8,8 @@ regression weighs them. Scoring: the weights of all that a whole text has are su
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ GRAMS, BITS = (4, 6, 8), 18
 LEVELS, DENSE = 4, 400
 SIZE = LEVELS << BITS
 #: At most about this many labelled rows of either class are learned from (chosen by a hash of their id), and n-grams kept.
-SAMPLE_ROWS, FEATURES = 3000, 4096
+SAMPLE_ROWS, FEATURES = 2000, 4096
 #: Least value of the G statistic of an n-gram: chance alone hardly gives it to one of a million n-grams.
 LEAST_G = 36.0
 THRESHOLD = 0.7
@@ -91,9 +93,10 @@ def learn(labelled: DataFrame, text_col: str = "text", features: int = FEATURES,
     if not n1 or not n0:
         rate = (n1 + 0.5) / (len(y) + 1) if len(y) else 1e-3
         return Model(weights, float(np.log(rate / (1 - rate))))
-    # equal texts count once, in an order that does not depend on the partitioning
-    unique = sorted({(t, x.tobytes()) for t, x in zip(y, lists, strict=True)})
-    y, lists = np.array([t for t, _ in unique]), [np.frombuffer(x, np.int32) for _, x in unique]
+    # equal texts count once, in an order that does not depend on the partitioning; only digests are copied
+    first = {(t, blake2b(x, digest_size=16).digest()): i for i, (t, x) in enumerate(zip(y, lists, strict=True))}
+    order = [first[k] for k in sorted(first)]
+    y, lists = y[order], [lists[i] for i in order]
     n1, n0 = y.sum(), (1 - y).sum()
     df1, df0 = np.zeros(SIZE), np.zeros(SIZE)
     for ids, t in zip(lists, y, strict=True):
