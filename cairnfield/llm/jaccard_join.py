@@ -158,21 +158,25 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     shared_keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("__k"))
     postings = shared.stored(postings.join(shared_keys, F.col("key") == F.col("__k"), "left_semi"))
 
-    def whole_sets(batches):
+    def similar(batches):
+        """The pairs whose texts' whole sets are similar; a text of another class (an id may repeat) is no witness."""
         for batch in batches:
-            data, off = shared.utf8(batch.column(0))
-            for i, j in shared.blocks(off):
-                found = list(shared.sets_of(data[off[i]: off[j]], off[i: j + 1], k))
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int64)))], names=["node", "set"])
-
-    def sets_of_nodes(nodes: DataFrame) -> DataFrame:
-        """(node, set): the whole sets of these classes, from one document of each."""
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            (a_data, a_off), (b_data, b_off) = shared.utf8(batch.column(2)), shared.utf8(batch.column(3))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, j in shared.blocks(a_off):
+                a_sets = shared.sets_of(a_data[a_off[i]: a_off[j]], a_off[i: j + 1], k)
+                b_sets = shared.sets_of(b_data[b_off[i]: b_off[j]], b_off[i: j + 1], k)
+                for r, (x, y) in enumerate(zip(a_sets, b_sets, strict=True), i):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[r] = 100 * both >= percent * (len(x) + len(y) - both) and digest(x) == a[r] and digest(y) == b[r]
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text) of one document of each class; texts are a third of the size of their sets."""
         wanted = shared.cut(nodes.join(classes, F.col("node") == F.col("hash")).select("first", "node"))
         few = wanted.count() <= BROADCAST_IDS
-        ids, keys = wanted.select("first").distinct(), wanted.select("node")
-        found = docs.join(F.broadcast(ids) if few else ids, F.col("__id").eqNullSafe(F.col("first")), "left_semi").select("__text").mapInArrow(whole_sets, "node long, set array<long>")
-        return shared.stored(found.join(F.broadcast(keys) if few else keys, "node", "left_semi").dropDuplicates(["node"]))
+        return docs.join(F.broadcast(wanted) if few else wanted, F.col("__id").eqNullSafe(F.col("first"))).select("node", F.col("__text").alias("text")).dropDuplicates(["node", "text"])
 
     def near():
         return 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
@@ -181,12 +185,11 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
         return n >= F.least("a_matches", "b_matches")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # sets move for candidates alone
-        sets = sets_of_nodes(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
-        right = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
-        both = F.size(F.array_intersect("a_set", "b_set"))
-        return pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+        # texts move for candidates alone
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(similar, "a long, b long").distinct()
 
     linked = components.clusters(postings, near, verify, enough)
     classes = classes.join(linked, F.col("hash") == F.col("node"), "left").withColumn("component", F.coalesce("component", "hash")).drop("node")

@@ -27,18 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _free(spark: SparkSession) -> None:
+    """The finished job's shuffle files go when the driver collects its garbage; long jobs would keep all stages' files until then."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and continue from there (survives lost executors)."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _free(df.sparkSession)
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed Parquet: for wider or larger intermediate tables."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # the finished job's shuffle files go when the driver collects its garbage; long jobs would keep all stages' files until then
-    df.sparkSession.sparkContext._jvm.System.gc()
+    _free(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
