@@ -108,12 +108,13 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, count: np.ndarray, percent:
     return hashes[order[: s - need + best]], best
 
 
-def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = ()) -> DataFrame:
+def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), key_col: str | None = None) -> DataFrame:
     """Per document row: id, keep_cols, n_shingles (set size), component_id (smallest id reachable by links, itself included).
 
     Documents link when their sets' Jaccard similarity is at least percent / 100. Null texts and texts without words have
     empty sets and link with nothing; texts of fewer than k words are one shingle. Repeated rows link with each
     other; null ids never become a component's id unless all its ids are null. Other columns of docs are dropped.
+    key_col: name of a last column with the component's own key, which components of equal (or null) ids do not share; null for empty sets.
     """
     extra = [f"__k{n}" for n in range(len(keep_cols))]
     docs = docs.select(F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(x) for x, c in zip(extra, keep_cols, strict=True))).alias("__row"), F.col(text_col).alias("__text"), F.col(id_col).alias("__id"))
@@ -194,9 +195,9 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     linked = components.clusters(postings, near, verify, enough)
     classes = classes.join(linked, F.col("hash") == F.col("node"), "left").withColumn("component", F.coalesce("component", "hash")).drop("node")
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = classes.join(least, "component").select(F.col("hash").alias("__h"), "component_id")
+    classes = classes.join(least, "component").select(F.col("hash").alias("__h"), "component_id", "component")
     return rows.join(classes, (F.col("hash") == F.col("__h")) & (F.col("n_shingles") > 0), "left").select(
-        F.col("__id").alias(id_col), *(F.col(x).alias(c) for x, c in zip(extra, keep_cols, strict=True)), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("__id")).otherwise(F.col("component_id")).alias("component_id")
+        F.col("__id").alias(id_col), *(F.col(x).alias(c) for x, c in zip(extra, keep_cols, strict=True)), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"), *([F.col("component").alias(key_col)] if key_col else [])
     )
 
 
