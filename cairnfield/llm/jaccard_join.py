@@ -6,7 +6,9 @@ is chosen by estimated cost: a longer prefix meets more postings, but asks for l
 verified; documents whose short prefix is full of frequent shingles take a larger l. A pair is a candidate if it shares
 min(l, l') shingles of both prefixes; candidates are verified on whole sets.
 
-Shingles meet within size classes alone, as sets of very unequal size cannot be similar.
+Shingles meet within size classes alone, as sets of very unequal size cannot be similar. Each set also has a parity sketch (which
+of 64 * PARITIES classes hold an odd number of its shingles): two sketches differ in no more bits than the sets differ in shingles, so
+that most unrelated sets part inside the join, and no similar ones.
 
 Equal sets are one class from the start; only classes are joined, and a group of near copies is connected through
 pivots before all that remains unconnected is compared.
@@ -29,8 +31,10 @@ from . import components, shared
 
 #: Shingles counted together, the least count that is passed on, and how many frequent shingles the order can hold (8 MB).
 CHUNK_SHINGLES, LEAST_LOCAL, FREQUENT = 4_000_000, 3, 500_000
-#: Longest multi-match and the cost of verifying a candidate, in postings.
-MOST_MATCHES, VERIFY_COST = 4, 20.0
+#: The cost of verifying a candidate, in postings.
+VERIFY_COST = 20.0
+#: Longs of a set's parity sketch.
+PARITIES = 4
 #: Documents up to which a list of wanted ids is broadcast (some 50 MB); beyond it documents are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -41,7 +45,15 @@ def digest(hashes: np.ndarray) -> int:
     return int(x.astype(np.int64)[0])
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """The parity sketch of a set of hashes, as signed integers."""
+    bits = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _summary(k: int):
+    sketch = [f"p{n}" for n in range(PARITIES)]
+
     def run(batches):
         held, seen, n, kind = [], set(), 0, None
 
@@ -49,23 +61,24 @@ def _summary(k: int):
             tokens, count = np.unique(np.concatenate(held), return_counts=True)
             at = count >= LEAST_LOCAL
             m = int(at.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, kind), pa.array(count[at].astype(np.int64)), pa.array(tokens[at].astype(np.int64))], names=["kind", "id", "n", "hash"])
+            return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, kind), pa.array(count[at].astype(np.int64)), pa.array(tokens[at].astype(np.int64)), *[pa.nulls(m, pa.int64())] * PARITIES], names=["kind", "id", "n", "hash", *sketch])
 
         for batch in batches:
             ids = batch.column(0)
             kind = ids.type
             data, off = shared.utf8(batch.column(1))
             for i, j in shared.blocks(off):
-                size, which = [], []
+                size, which, odd = [], [], []
                 for s in shared.sets_of(data[off[i]: off[j]], off[i: j + 1], k):
                     d = digest(s)
                     size.append(len(s))
                     which.append(d)
+                    odd.append(parities(s))
                     if d not in seen and len(s):
                         seen.add(d)
                         held.append(s)
                         n += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * (j - i), pa.int32()), ids.slice(i, j - i), pa.array(size, pa.int64()), pa.array(which, pa.int64())], names=["kind", "id", "n", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array([0] * (j - i), pa.int32()), ids.slice(i, j - i), pa.array(size, pa.int64()), pa.array(which, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*odd, strict=True))], names=["kind", "id", "n", "hash", *sketch])
                 if n >= CHUNK_SHINGLES:
                     yield counted()
                     held, seen, n = [], set(), 0
@@ -75,10 +88,10 @@ def _summary(k: int):
     return run
 
 
-def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(counts: DataFrame, scratch: shared.Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (ascending hashes) and their counts, FREQUENT of them at most."""
     total = counts.groupBy("hash").agg(F.sum("n").alias("n"))
-    total = shared.cut(total)
+    total = scratch.keep(total)
     held = dict(total.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().collect())  # some 40 rows
     least, n = 64, 0
     for level in sorted(held, reverse=True):
@@ -101,9 +114,10 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, count: np.ndarray, percent:
         at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
         df = np.where(frequent[at] == hashes, count[at], 0)
     order = np.argsort(df, kind="stable")
-    most = min(MOST_MATCHES, need)
+    most = need  # the longest prefix is the whole set
     work = np.cumsum(df[order[: s - need + most]])
-    cost = [work[s - need + i - 1] * (1 + VERIFY_COST / i) + (s - need + i) for i in range(1, most + 1)]
+    i = np.arange(1, most + 1)
+    cost = work[s - need:] * (1 + VERIFY_COST / i) + (s - need + i)
     best = int(np.argmin(cost)) + 1
     return hashes[order[: s - need + best]], best
 
@@ -116,13 +130,19 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     other; null ids never become a component's id unless all its ids are null. Other columns of docs are dropped.
     key_col: name of a last column with the component's own key, which components of equal (or null) ids do not share; null for empty sets.
     """
+    with shared.Scratch(docs.sparkSession) as scratch:
+        return shared.stored(_classes(docs, k, percent, id_col, text_col, keep_cols, key_col, scratch))
+
+
+def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, keep_cols: tuple[str, ...], key_col: str | None, scratch: shared.Scratch) -> DataFrame:
     extra = [f"__k{n}" for n in range(len(keep_cols))]
+    sketch = [f"p{n}" for n in range(PARITIES)]
     docs = docs.select(F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(x) for x, c in zip(extra, keep_cols, strict=True))).alias("__row"), F.col(text_col).alias("__text"), F.col(id_col).alias("__id"))
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", docs.schema["__row"].dataType), T.StructField("n", T.LongType()), T.StructField("hash", T.LongType())])
-    facts = shared.stored(docs.select("__row", "__text").mapInArrow(_summary(k), schema))
-    rows = facts.filter("kind = 0").select(F.col("id.id").alias("__id"), *(F.col(f"id.{x}").alias(x) for x in extra), F.col("n").alias("n_shingles"), "hash")
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(facts.filter("kind = 1")))
-    classes = rows.filter("n_shingles > 0").groupBy("hash").agg(F.min("__id").alias("first"))
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", docs.schema["__row"].dataType), *(T.StructField(x, T.LongType()) for x in ("n", "hash", *sketch))])
+    facts = scratch.keep(docs.select("__row", "__text").mapInArrow(_summary(k), schema))
+    rows = facts.filter("kind = 0").select(F.col("id.id").alias("__id"), *(F.col(f"id.{x}").alias(x) for x in extra), F.col("n").alias("n_shingles"), "hash", *sketch)
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(facts.filter("kind = 1"), scratch))
+    classes = scratch.keep(rows.filter("n_shingles > 0").groupBy("hash").agg(F.min("__id").alias("first"), *(F.min(x).alias(x) for x in sketch)))
 
     def prefixes(batches):
         token, count = frequent.value
@@ -148,16 +168,23 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["key", "node", "size", "matches"])
 
     postings = docs.select("__text").mapInArrow(prefixes, "key long, node long, size int, matches int")
-    # Equal sets of different tasks give equal rows; keys of one class alone are dropped.
-    postings = shared.stored(postings.groupBy("key", "node").agg(F.min("size").alias("size"), F.min("matches").alias("matches")))
-    shared_keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("__k"))
-    postings = shared.stored(postings.join(shared_keys, F.col("key") == F.col("__k"), "left_semi"))
+    def several(postings: DataFrame) -> DataFrame:
+        """Those whose key has several nodes."""
+        keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("__k"))
+        out = scratch.keep(postings.join(keys, F.col("key") == F.col("__k"), "left_semi"))
+        scratch.drop(postings)
+        return out
 
+    # Equal sets of different tasks give equal rows; keys of one class alone are dropped.
+    postings = several(scratch.keep(postings.groupBy("key", "node").agg(F.min("size").alias("size"), F.min("matches").alias("matches"))))
     # Sets of linked documents differ in size by at most the similarity: they share a size class, or neighbouring ones.
     level = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) + 1e-6) if percent < 100 else F.col("size")
-    postings = postings.select(F.explode(F.array(F.xxhash64("key", level), F.xxhash64("key", level + 1))).alias("key"), "node", "size", "matches")
-    shared_keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("__k"))
-    postings = shared.stored(postings.join(shared_keys, F.col("key") == F.col("__k"), "left_semi"))
+    leveled = postings.select(F.explode(F.array(F.xxhash64("key", level), F.xxhash64("key", level + 1))).alias("key"), "node", "size", "matches")
+    leveled = several(leveled)
+    scratch.drop(postings)
+    # nodes with their sketches: classes are few, their postings many
+    wide = classes.select(F.col("hash").alias("__h"), *sketch)
+    postings = leveled.join(wide, F.col("node") == F.col("__h")).drop("__h")
 
     def similar(batches):
         """The pairs whose texts' whole sets are similar; a text of another class (an id may repeat) is no witness."""
@@ -175,24 +202,31 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, text) of one document of each class; texts are a third of the size of their sets."""
-        wanted = shared.cut(nodes.join(classes, F.col("node") == F.col("hash")).select("first", "node"))
+        wanted = scratch.keep(nodes.join(classes, F.col("node") == F.col("hash")).select("first", "node"))
         few = wanted.count() <= BROADCAST_IDS
         return docs.join(F.broadcast(wanted) if few else wanted, F.col("__id").eqNullSafe(F.col("first"))).select("node", F.col("__text").alias("text")).dropDuplicates(["node", "text"])
 
     def near():
-        return 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+        # sets of a similarity differ in at most this share of their shingles
+        apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in sketch), F.lit(0))
+        sizes = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+        return sizes & (apart * (100 + percent) <= (F.col("a_size") + F.col("b_size")) * (100 - percent))
+
+    def matches():
+        return F.least("a_matches", "b_matches")
 
-    def enough(n):
-        return n >= F.least("a_matches", "b_matches")
+    def enough(n, least):
+        return n >= least
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, scratch: shared.Scratch) -> DataFrame:
         # texts move for candidates alone
         texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
         return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(similar, "a long, b long").distinct()
 
-    linked = components.clusters(postings, near, verify, enough)
+    linked = components.clusters(postings, near, verify, scratch, matches, enough)
+    classes = classes.select("hash", "first")
     classes = classes.join(linked, F.col("hash") == F.col("node"), "left").withColumn("component", F.coalesce("component", "hash")).drop("node")
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = classes.join(least, "component").select(F.col("hash").alias("__h"), "component_id", "component")

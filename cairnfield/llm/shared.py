@@ -17,35 +17,70 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (tests), a local one is made."""
+    """The folder that driver and executors share. On a local master a temporary one is made where none is set; on a cluster that is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base
 
 
-def _free(spark: SparkSession) -> None:
-    """The finished job's shuffle files go when the driver collects its garbage; long jobs would keep all stages' files until then."""
-    spark.sparkContext._jvm.System.gc()
+#: Spark's own setting: the shuffle files of a query go when the query has ended, not when the driver next collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and continue from there (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    _free(df.sparkSession)
-    return out
+def _write(df: DataFrame, path: str, compression: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), as compressed Parquet: for wider or larger intermediate tables."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _free(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Materialise df as Parquet in the shared folder and continue from there (survives lost executors). The folder stays: it is a result."""
+    return _write(df, f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}", compression)
+
+
+class Scratch:
+    """Intermediate tables of one job, as Parquet in the shared folder. They go at the end of the `with` block, or by drop()."""
+
+    def __init__(self, spark: SparkSession):
+        self._root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
+        """Materialise df and continue from there (survives lost executors)."""
+        path = f"{self._root}/{uuid.uuid4().hex}"
+        out = _write(df, path, compression)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that keep() gave and nothing reads any more."""
+        for t in tables:
+            if t is not None and id(t) in self._paths:
+                self._delete(self._paths.pop(id(t))[1])
+
+    def _delete(self, path: str) -> None:
+        where = self._fs_path(path)
+        where.getFileSystem(self._conf).delete(where, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._paths.clear()
+        self._delete(self._root)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

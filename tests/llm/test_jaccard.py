@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+
 from tests.llm import brute
 
-from cairnfield.llm import components, jaccard_join
+from cairnfield.llm import components, jaccard_join, shared
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -45,5 +47,15 @@ def test_empty(spark):
 
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    with shared.Scratch(spark) as scratch:
+        got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 150))
+
+
+def test_parity_sketches_never_part_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 10, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 4], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)]))
+        apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(jaccard_join.parities(a), jaccard_join.parities(b), strict=True))
+        assert apart <= len(np.setxor1d(a, b))
