@@ -33,8 +33,10 @@ from . import components, shared
 CHUNK_SHINGLES, LEAST_LOCAL, FREQUENT = 4_000_000, 3, 500_000
 #: The cost of verifying a candidate, in postings.
 VERIFY_COST = 20.0
-#: Longs of a set's parity sketch.
-PARITIES = 4
+#: Longs of a set's parity sketch, and bytes of the larger one that a candidate has to pass before texts move.
+PARITIES, WIDE = 4, 512
+#: Rounds in which each key's items are compared with one of them, before all that are still apart are.
+STARS = 6
 #: Documents up to which a list of wanted ids is broadcast (some 50 MB); beyond it documents are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -45,10 +47,10 @@ def digest(hashes: np.ndarray) -> int:
     return int(x.astype(np.int64)[0])
 
 
-def parities(hashes: np.ndarray) -> list[int]:
-    """The parity sketch of a set of hashes, as signed integers."""
-    bits = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES).astype(np.uint8) & 1
-    return np.packbits(bits).view(np.int64).tolist()
+def parities(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Of size * 8 classes of hashes, those of which a set has an odd number, as bits in size bytes."""
+    classes = size * 8
+    return np.packbits(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % classes, minlength=classes).astype(np.uint8) & 1)
 
 
 def _summary(k: int):
@@ -61,24 +63,25 @@ def _summary(k: int):
             tokens, count = np.unique(np.concatenate(held), return_counts=True)
             at = count >= LEAST_LOCAL
             m = int(at.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, kind), pa.array(count[at].astype(np.int64)), pa.array(tokens[at].astype(np.int64)), *[pa.nulls(m, pa.int64())] * PARITIES], names=["kind", "id", "n", "hash", *sketch])
+            return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, kind), pa.array(count[at].astype(np.int64)), pa.array(tokens[at].astype(np.int64)), *[pa.nulls(m, pa.int64())] * PARITIES, pa.nulls(m, pa.binary())], names=["kind", "id", "n", "hash", *sketch, "wide"])
 
         for batch in batches:
             ids = batch.column(0)
             kind = ids.type
             data, off = shared.utf8(batch.column(1))
             for i, j in shared.blocks(off):
-                size, which, odd = [], [], []
+                size, which, odd, wide = [], [], [], []
                 for s in shared.sets_of(data[off[i]: off[j]], off[i: j + 1], k):
                     d = digest(s)
                     size.append(len(s))
                     which.append(d)
-                    odd.append(parities(s))
+                    odd.append(parities(s, 8 * PARITIES).view(np.int64).tolist())
+                    wide.append(parities(s, WIDE).tobytes())
                     if d not in seen and len(s):
                         seen.add(d)
                         held.append(s)
                         n += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * (j - i), pa.int32()), ids.slice(i, j - i), pa.array(size, pa.int64()), pa.array(which, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*odd, strict=True))], names=["kind", "id", "n", "hash", *sketch])
+                yield pa.RecordBatch.from_arrays([pa.array([0] * (j - i), pa.int32()), ids.slice(i, j - i), pa.array(size, pa.int64()), pa.array(which, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*odd, strict=True)), pa.array(wide, pa.binary())], names=["kind", "id", "n", "hash", *sketch, "wide"])
                 if n >= CHUNK_SHINGLES:
                     yield counted()
                     held, seen, n = [], set(), 0
@@ -138,11 +141,11 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     extra = [f"__k{n}" for n in range(len(keep_cols))]
     sketch = [f"p{n}" for n in range(PARITIES)]
     docs = docs.select(F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(x) for x, c in zip(extra, keep_cols, strict=True))).alias("__row"), F.col(text_col).alias("__text"), F.col(id_col).alias("__id"))
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", docs.schema["__row"].dataType), *(T.StructField(x, T.LongType()) for x in ("n", "hash", *sketch))])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", docs.schema["__row"].dataType), *(T.StructField(x, T.LongType()) for x in ("n", "hash", *sketch)), T.StructField("wide", T.BinaryType())])
     facts = scratch.keep(docs.select("__row", "__text").mapInArrow(_summary(k), schema))
-    rows = facts.filter("kind = 0").select(F.col("id.id").alias("__id"), *(F.col(f"id.{x}").alias(x) for x in extra), F.col("n").alias("n_shingles"), "hash", *sketch)
+    rows = facts.filter("kind = 0").select(F.col("id.id").alias("__id"), *(F.col(f"id.{x}").alias(x) for x in extra), F.col("n").alias("n_shingles"), "hash", *sketch, "wide")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(facts.filter("kind = 1"), scratch))
-    classes = scratch.keep(rows.filter("n_shingles > 0").groupBy("hash").agg(F.min("__id").alias("first"), *(F.min(x).alias(x) for x in sketch)))
+    classes = scratch.keep(rows.filter("n_shingles > 0").groupBy("hash").agg(F.min("__id").alias("first"), F.min("n_shingles").alias("size"), *(F.min(x).alias(x) for x in sketch), F.first("wide").alias("wide")))
 
     def prefixes(batches):
         token, count = frequent.value
@@ -200,6 +203,14 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
                     keep[r] = 100 * both >= percent * (len(x) + len(y) - both) and digest(x) == a[r] and digest(y) == b[r]
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
+    def close(batches):
+        """The pairs whose large sketches leave it open that they are similar."""
+        for batch in batches:
+            bits = [data[off[0]: off[-1]].reshape(-1, WIDE) for data, off in map(shared.utf8, batch.columns[2:4])]
+            sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            keep = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) * (100 + percent) <= sizes * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, text) of one document of each class; texts are a third of the size of their sets."""
         wanted = scratch.keep(nodes.join(classes, F.col("node") == F.col("hash")).select("first", "node"))
@@ -219,13 +230,17 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
         return n >= least
 
     def verify(pairs: DataFrame, scratch: shared.Scratch) -> DataFrame:
-        # texts move for candidates alone
+        # large sketches move for candidates, and texts for those that pass
+        of = [classes_.select(F.col("hash").alias(x), F.col("wide").alias(f"{x}_wide"), F.col("size").alias(f"{x}_size")) for x in "ab"]
+        pairs = pairs.join(of[1], "b").join(of[0], "a").select("a", "b", "a_wide", "b_wide", "a_size", "b_size").mapInArrow(close, "a long, b long")
+        pairs = scratch.keep(pairs)
         texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
         return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(similar, "a long, b long").distinct()
 
-    linked = components.clusters(postings, near, verify, scratch, matches, enough)
+    classes_ = classes
+    linked = components.clusters(postings, near, verify, scratch, matches, enough, STARS)
     classes = classes.select("hash", "first")
     classes = classes.join(linked, F.col("hash") == F.col("node"), "left").withColumn("component", F.coalesce("component", "hash")).drop("node")
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
