@@ -72,7 +72,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     lengths = [WINDOW, *short]
     whole = F.when(F.size("words") < WINDOW, F.size("words")).otherwise(F.lit(WINDOW))
     known = _windows(_with_prints(items, short).withColumn("__n", whole), lengths, ["item", "__n"]).filter("length = __n").select("print", "window", "length", "item").distinct()
-    known = shared.cut(known)
+    known = shared.stored(known)
     small = known.count() <= broadcast_rows
     side = F.broadcast if small else (lambda df: df)
 
@@ -85,7 +85,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         .groupBy("__uid")
         .agg(F.collect_set("print").alias("__hits"))
     )
-    hits = shared.cut(hits)
+    hits = shared.stored(hits)
     if hits.count() <= broadcast_rows // 4:
         hits = F.broadcast(hits)
     # Texts are read again for documents with hits alone, and their windows compared whole.

@@ -164,7 +164,7 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
 
     Hot hosts are summed by partial aggregation first by path, then by host, so that no task holds a host's rows.
     """
-    paths = shared.cut(evidence.groupBy("host", "path").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")))
+    paths = shared.stored(evidence.groupBy("host", "path").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     whole = hosts.agg((F.sum("good") / F.sum("n")).alias("global_rate"))
     hosts = hosts.crossJoin(F.broadcast(whole)).withColumn("rate", F.col("good") / F.col("n"))  # one row
