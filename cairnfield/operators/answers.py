@@ -65,30 +65,37 @@ def field_keys(fields: DataFrame) -> DataFrame:
     return rows.groupBy("request_id").applyInPandas(number, f"request_id {kinds['request_id']}, ordinal int, name string, key string")
 
 
-def _value(entry: Column) -> Column:
-    value = strip(entry["value"])
-    return F.when(value != "", value)
+def _string(entry: Column, path: str) -> Column:
+    """The stripped string at a path of a variant; null for blanks and for values of any other type."""
+    found = strip(F.try_variant_get(entry, path, "string"))
+    return F.when((F.schema_of_variant(F.try_variant_get(entry, path, "variant")) == "STRING") & (found != ""), found)
+
+
+def _sources(entry: Column) -> Column:
+    """The integers of the list `sources`; other elements are left out."""
+    listed = F.filter(F.try_variant_get(entry, "$.sources", "array<variant>"), lambda x: F.schema_of_variant(x) == "BIGINT")
+    return F.transform(listed, lambda x: F.try_variant_get(x, "$", "int"))
 
 
 def parse_structured(replies: DataFrame, fields: DataFrame) -> DataFrame:
     """(request_id, ordinal, name, value, citations) for each requested field; unsupported ones are null, sources within bounds.
 
-    A reply is a JSON object of {value, sources} by key. A reply or entry of another shape supports nothing.
+    A reply is a JSON object of {value, sources} by key. A reply or entry of another shape supports nothing: values are strings, and only integers count among sources.
     """
-    parsed = replies.select("request_id", "n_passages", F.from_json("content", "map<string,struct<value:string,sources:array<int>>>").alias("m"))
+    parsed = replies.select("request_id", "n_passages", F.from_json("content", "map<string,variant>").alias("m"))
     joined = field_keys(fields).join(parsed, "request_id", "left").withColumn("e", F.try_element_at("m", F.col("key")))
-    value = _value(F.col("e"))
-    sources = F.coalesce(_bounded(F.col("e.sources"), F.col("n_passages")), F.array().cast("array<int>"))
+    value = _string(F.col("e"), "$.value")
+    sources = F.coalesce(_bounded(_sources(F.col("e")), F.col("n_passages")), F.array().cast("array<int>"))
     return joined.select("request_id", "ordinal", "name", value.alias("value"), F.when(value.isNotNull(), sources).otherwise(F.array().cast("array<int>")).alias("citations"))
 
 
 def parse_auto_fields(replies: DataFrame) -> DataFrame:
     """(request_id, ordinal, name, value, citations) of the first eight fields that a reply names itself; nameless ones are dropped."""
-    parsed = replies.select("request_id", "n_passages", F.from_json("content", "struct<fields:array<struct<name:string,value:string,sources:array<int>>>>").alias("j"))
-    rows = parsed.select("request_id", "n_passages", F.posexplode(F.slice("j.fields", 1, AUTO_FIELDS)).alias("ordinal", "e")).filter(strip(F.col("e.name")) != "")
-    value = _value(F.col("e"))
-    sources = F.coalesce(_bounded(F.col("e.sources"), F.col("n_passages")), F.array().cast("array<int>"))
-    return rows.select("request_id", "ordinal", F.substring(strip(F.col("e.name")), 1, NAME_CHARS).alias("name"), value.alias("value"), F.when(value.isNotNull(), sources).otherwise(F.array().cast("array<int>")).alias("citations"))
+    parsed = replies.select("request_id", "n_passages", F.from_json("content", "struct<fields:array<variant>>").alias("j"))
+    rows = parsed.select("request_id", "n_passages", F.posexplode(F.slice("j.fields", 1, AUTO_FIELDS)).alias("ordinal", "e")).withColumn("name", _string(F.col("e"), "$.name")).filter("name is not null")
+    value = _string(F.col("e"), "$.value")
+    sources = F.coalesce(_bounded(_sources(F.col("e")), F.col("n_passages")), F.array().cast("array<int>"))
+    return rows.select("request_id", "ordinal", F.substring("name", 1, NAME_CHARS).alias("name"), value.alias("value"), F.when(value.isNotNull(), sources).otherwise(F.array().cast("array<int>")).alias("citations"))
 
 
 def parse_synth_queries(content: Column) -> Column:

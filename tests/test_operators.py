@@ -238,3 +238,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.id, r.content_hash) for r in ingest.latest_snapshot(spark, f"{tmp_path}/out").collect()}
     batch, _ = crawl(spark, spark.createDataFrame([], readers.CHUNKS), [page("p1", "a b c"), page("p2", "x"), page("p3", "k l", seed="s2")])
     assert got == {(r.id, r.content_hash) for r in batch.collect()} and len(got) == 3
+
+
+def test_structured_values_are_strings_and_sources_integers(spark):
+    content = '{"a": {"value": 5, "sources": [1]}, "b": {"value": " ok ", "sources": [1, "x", 2, 9, 1.5, null]}, "c": "no entry", "d": {"value": "y", "sources": 3}}'
+    replies = spark.createDataFrame([(1, content, 3), (2, "[1]", 3)], "request_id int, content string, n_passages int")
+    fields = spark.createDataFrame([(r, i, n) for r in (1, 2) for i, n in enumerate("abcd")], "request_id int, ordinal int, name string")
+    got = {(r.request_id, r.name): (r.value, r.citations) for r in answers.parse_structured(replies, fields).collect()}
+    assert got[1, "a"] == (None, []) and got[1, "b"] == ("ok", [1, 2]) and got[1, "c"] == (None, []) and got[1, "d"] == ("y", [])
+    assert all(got[2, n] == (None, []) for n in "abcd")
+
+
+def test_auto_fields_take_strings_and_integers_only(spark):
+    content = '{"fields": [{"name": "A", "value": true}, {"name": 7, "value": "x"}, {"name": "B", "value": "v", "sources": ["1", 2]}]}'
+    rows = answers.parse_auto_fields(spark.createDataFrame([(1, content, 8)], "request_id int, content string, n_passages int")).collect()
+    assert [(r.name, r.value, r.citations) for r in rows] == [("A", None, []), ("B", "v", [2])]
