@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,12 +44,14 @@ def strip(col: Column) -> Column:
 
 def drop_consent_lines(col: Column) -> Column:
     """Without the lines that mention cookies or hold a consent phrase; the bare word "consent" stays."""
+    phrases = "|".join(re.escape(p) for p in ("cookie", *CONSENT_PHRASES))
 
-    def is_noise(line: Column) -> Column:
-        low = F.lower(line)
-        return reduce(lambda a, b: a | b, [low.contains(p) for p in ("cookie", *CONSENT_PHRASES)])
+    def is_noise(text: Column) -> Column:
+        return F.lower(text).rlike(phrases)
 
-    return F.array_join(F.filter(F.split(col, "\n"), lambda line: ~is_noise(line)), "\n")
+    # phrases hold no newline: a text without any is left alone, and is looked at once
+    kept = F.array_join(F.filter(F.split(col, "\n"), lambda line: ~is_noise(line)), "\n")
+    return F.when(is_noise(col), kept).otherwise(col)
 
 
 def clean_markdown(col: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,10 +101,11 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = 1, max_p
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():  # tests; a cluster names its shared folder in spark.checkpoint.dir
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    if not sc.getCheckpointDir():
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
