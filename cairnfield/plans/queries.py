@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from cairnfield.functions import dates, text, urls
+from cairnfield.functions.encoders import QUERY_INSTRUCTION
+from cairnfield.functions.highlight import highlight
 from cairnfield.operators import answers, embed, evaluate, index, pages, rank, registry, retrieve, train
 
 from . import bindings as b
@@ -105,21 +108,79 @@ def recency_prior(spark, d):
     return rank.recency_prior(hits, b.AS_OF).select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
 
 
-@query()
+#: Result rows of hits r (query_id, chunk_id, rank, score): boosted, ranked, as format_results gives them, without highlight.
+_RESULTS = f"""boosted AS (SELECT query_id, chunk_id, rank AS was, score * {_BOOST.format(boost='0.05')} AS score, url, source_type, published_at FROM r JOIN vectors ON chunk_id = id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, was)::INT AS rank, url, 'Vector ' || chunk_id AS title, NULL::VARCHAR AS org, source_type, round(score, 4) AS score,
+       coalesce(published_at >= {AS_OF_SQL} - INTERVAL 7 DAY, false) AS fresh, strftime(published_at, '%Y-%m-%d') AS published_at FROM boosted"""
+
+
+@query(f"WITH {b.VECTORS}, {b.dense_sql('r', 10)}, {_RESULTS}")
 def search_fast(spark, d):
-    return rank.search_fast(b.vector_queries(spark, d), b.dated_vectors(spark, d), 10, b.AS_OF)
+    """Result rows but for highlights, which have a query of their own."""
+    return rank.search_fast(b.vector_queries(spark, d), b.dated_vectors(spark, d), 10, b.AS_OF).drop("highlight")
 
 
-@query()
+_SHARE = f"len(list_intersect(list_distinct({b.terms_sql('query')}), list_distinct({b.terms_sql('text')}))) / len(list_distinct({b.terms_sql('query')}))"
+
+
+@query(
+    f"WITH {_FUSED}, pairs AS (SELECT query_id, chunk_id, 1 / (1 + exp(-(CASE WHEN len({b.terms_sql('query')}) = 0 THEN -4 ELSE 8 * {_SHARE} - 4 END))) AS score FROM fused JOIN (SELECT id, text FROM vectors) ON chunk_id = id JOIN (SELECT query_id, query FROM asked) USING (query_id)), "
+    f"r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 10), {_RESULTS}"
+)
 def search_quality(spark, d):
-    return rank.search_quality(b.vector_queries(spark, d), b.dated_vectors(spark, d), 10, b.AS_OF)
+    """Result rows but for highlights, which have a query of their own."""
+    return rank.search_quality(b.vector_queries(spark, d), b.dated_vectors(spark, d), 10, b.AS_OF).drop("highlight")
 
 
 @query()
+def highlights(spark, d):
+    """The highlight of each result of the fast search, with the texts it comes from; tested against brute force."""
+    hits = retrieve.hydrate(retrieve.dense_topk(b.vector_queries(spark, d), b.vectors(spark, d), 10), b.dated_vectors(spark, d), b.AS_OF)
+    asked = hits.join(b.vector_queries(spark, d).select("query_id", "query"), "query_id")
+    return asked.select("query_id", "chunk_id", "query", "text", highlight(F.col("query"), F.col("text")).alias("highlight"))
+
+
+#: In the middle of the dates, so that some rows are fresh.
+_FRESH = datetime(1996, 7, 1)
+
+
+@query(
+    f"WITH {_FUSED} SELECT query_id, chunk_id, fused.rank::INT AS rank, round(score, 6) AS score, in_dense, in_lex, url, 'Vector ' || chunk_id AS title, source_type, sha256(text) AS text_hash, "
+    "strftime(published_at, '%Y-%m-%d') AS published_at, strftime(published_at, '%Y-%m-%d') AS crawled_at, coalesce(published_at >= TIMESTAMP '1996-06-24', false) AS fresh FROM fused JOIN vectors ON chunk_id = id"
+)
+def hybrid_search(spark, d):
+    out = retrieve.hybrid_search(b.vector_queries(spark, d), b.dated_vectors(spark, d), 50, _FRESH)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return out.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "in_dense", "in_lex", "url", "title", "source_type", text.content_hash(F.col("text")).alias("text_hash"), day("published_at"), day("crawled_at"), "fresh")
+
+
+def _embedded_sql(key: str, col: str, source: str) -> str:
+    """Digest of the default encoder's vectors of the texts col of source."""
+    return (
+        f"WITH t AS (SELECT {key}, {b.terms_sql(col)} AS t FROM {source}), h AS (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT {key}, unnest(t) AS w FROM t)), "
+        f"v AS (SELECT {key}, (h % 256)::INT AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY ALL), n AS (SELECT {key}, sqrt(sum(x * x)) AS l, max(x) FILTER (i = 0) AS x0, sum(i * sign(x))::BIGINT AS signs, count(*) FILTER (x <> 0) AS filled FROM v GROUP BY 1) "
+        f"SELECT {key}, 256 AS dim, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm2, coalesce(filled, 0)::BIGINT AS filled, coalesce(signs, 0)::BIGINT AS signs, round(CASE WHEN l > 0 THEN coalesce(x0, 0) / l ELSE 0 END, 4) AS first FROM t LEFT JOIN n USING ({key})"
+    )
+
+
+def _digest(rows, key: str, vec: str):
+    v = F.col(vec)
+    norm2 = F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2")
+    filled = F.size(F.filter(v, lambda x: x != 0)).cast("long").alias("filled")
+    signs = F.aggregate(F.transform(v, lambda x, i: i * F.signum(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("signs")
+    return rows.select(key, F.size(v).alias("dim"), norm2, filled, signs, F.round(F.element_at(v, 1).cast("double"), 4).alias("first"))
+
+
+@query(_embedded_sql("doc_id", "text", "documents"))
 def embed_documents(spark, d):
-    """Vectors of all documents by the default encoder, as their squared lengths and first components."""
-    rows = embed.embed_docs(b.table(spark, d, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.round(F.aggregate("dense", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"), F.size("dense").alias("dim"), F.element_at("dense", 1).alias("first"))
+    """Vectors of all documents by the default encoder: squared length, filled components, weighted signs, first component."""
+    return _digest(embed.embed_docs(b.table(spark, d, "documents").select("doc_id", "text")), "doc_id", "dense")
+
+
+@query(_embedded_sql("item_id", f"'Instruct: {QUERY_INSTRUCTION} Query: ' || text", "benchmark"))
+def embed_queries(spark, d):
+    """Vectors of all benchmark texts as queries, which carry the instruction."""
+    return _digest(embed.embed_queries(b.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))), "item_id", "vec")
 
 
 # ------------------------------------------------------------------------------ evaluation
@@ -262,16 +323,22 @@ def delete_url(spark, d):
     return index.delete_url(_sides(spark, d)[0], b.docs(spark, d).filter("source_type = 'news'")).select("id")
 
 
-@query()
+@query(
+    f"WITH {_UPSERTED}, ok AS (SELECT DISTINCT source_url, industry, url FROM docs WHERE text IS NOT NULL AND {b.norm_sql('text')} <> ''), fetched AS (SELECT DISTINCT source_url, industry FROM docs WHERE text IS NOT NULL), "
+    f"stamps AS (SELECT url, max(published_at) AS date FROM docs WHERE published_at IS NOT NULL AND text IS NOT NULL AND {b.norm_sql('text')} <> '' GROUP BY 1) "
+    "SELECT id, url, content_hash, strftime(coalesce(date, published_at), '%Y-%m-%d') AS published_at, strftime(crawled_at, '%Y-%m-%d') AS crawled_at FROM upserted u LEFT JOIN stamps USING (url) "
+    "WHERE NOT EXISTS (FROM fetched f WHERE f.source_url = u.source_url AND f.industry = u.industry) OR EXISTS (FROM ok o WHERE o.source_url = u.source_url AND o.industry = u.industry AND o.url = u.url)"
+)
 def incremental_index(spark, d):
     """The composed job over all documents as a crawl."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     old = embed.embed_docs(b.index_of(b.old_docs(spark, d)))
     crawl = b.docs(spark, d).withColumns({"ok": F.col("text").isNotNull(), "error": F.lit(None).cast("string")})
     out, _ = index.incremental_index(old, crawl, b.AS_OF, size=b.SIZE, overlap=b.OVERLAP)
-    return out.select("id", "url", "content_hash", "published_at", "crawled_at")
+    return out.select("id", "url", "content_hash", day("published_at"), day("crawled_at"))
 
 
-@query()
+@query(f"WITH {b.DOCS}, {b.chunks_sql('c', 'docs')} SELECT id, url, content_hash FROM c")
 def ingest_stream(spark, d):
     """All documents as a stream of page versions; the snapshot that it leaves."""
     from cairnfield.operators.pages import _checkpoint
@@ -292,8 +359,6 @@ def ingest_stream(spark, d):
 
 @query(f"WITH {b.SOURCES} SELECT url, source_type, cadence FROM sources WHERE last_crawl IS NULL OR last_crawl < TIMESTAMP '1998-12-01' - CASE cadence WHEN 'hourly' THEN INTERVAL 1 HOUR WHEN 'daily' THEN INTERVAL 24 HOUR WHEN 'weekly' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END")
 def sources_due(spark, d):
-    from datetime import datetime
-
     return registry.sources_due(b.sources(spark, d), datetime(1998, 12, 1)).select("url", "source_type", "cadence")
 
 
