@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import escape
+from itertools import accumulate, zip_longest
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,9 +15,9 @@ WINDOW_CHARS, SLACK_CHARS = 360, 80
 
 # Words that are no search terms.
 STOP_WORDS = (
-    "the a an and or of to in on for is are be by with as at from that this it its how "
-    "what which do does we our their"
-).split()
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "is", "are", "be", "by", "with", "as", "at", "from",
+    "that", "this", "it", "its", "how", "what", "which", "do", "does", "we", "our", "their",
+)
 
 
 def query_terms(query: str) -> list[str]:
@@ -24,6 +26,14 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if len(w) > 2 and w not in STOP_WORDS))
 
 
+def _cut(text: str, most: int) -> str:
+    """text, or its first whole words of at most `most` characters and an ellipsis."""
+    if len(text) <= most:
+        return text
+    head = text[:most]
+    return (head[: head.rindex(" ")] if " " in head else head) + "…"
+
+
 def passage(query: str | None, text: str | None, size: int = WINDOW_CHARS) -> str:
     """The sentence with most term hits (the first of equals), grown to the right, then to the left, to about size characters.
 
@@ -32,23 +42,17 @@ def passage(query: str | None, text: str | None, size: int = WINDOW_CHARS) -> st
     query, text = query or "", text or ""
     wanted = query_terms(query)
     parts = [p for p in (x.strip() for x in re.split(r"(?<=[.!?])\s+|\n+", text.strip())) if p]
-    if not parts:
-        chosen = text[:size]
-    else:
+    if parts:
         hits = [sum(p.lower().count(t) for t in wanted) for p in parts]
-        a = hits.index(max(hits))
-        b = a + 1
-        total = len(parts[a])
-        while total < size and (a > 0 or b < len(parts)):
-            if b < len(parts):
-                total += 1 + len(parts[b])
-                b += 1
-            if a > 0 and total < size:
-                a -= 1
-                total += 1 + len(parts[a])
-        chosen = " ".join(parts[a:b])
-        if len(chosen) > size + SLACK_CHARS:
-            chosen = chosen[: size + SLACK_CHARS].rpartition(" ")[0] + "…" if " " in chosen[: size + SLACK_CHARS] else chosen[: size + SLACK_CHARS] + "…"
+        best = hits.index(max(hits))
+        # neighbours in the order in which they join, and the size before each joins
+        sides = zip_longest(range(best + 1, len(parts)), range(best - 1, -1, -1))
+        order = [i for pair in sides for i in pair if i is not None]
+        sizes = list(accumulate((1 + len(parts[i]) for i in order), initial=len(parts[best])))
+        inside = [best, *order[: bisect_left(sizes, size)]]
+        chosen = _cut(" ".join(parts[min(inside): max(inside) + 1]), size + SLACK_CHARS)
+    else:
+        chosen = text[:size]
     safe = escape(chosen)
     if not wanted:
         return safe

@@ -301,21 +301,31 @@ def page_results(spark, d):
 
 
 @query(
-    f"WITH {_DIFF}, p AS (SELECT url, industry, count(*) FILTER (state IN ('new', 'changed')) AS changed, count(*) FILTER (state = 'unchanged') AS skipped, count(*) FILTER (state = 'vanished') AS removed, count(*) FILTER (state <> 'vanished') AS chunks FROM diff GROUP BY ALL) "
-    "SELECT source_url, count(*) AS indexed_pages, sum(chunks)::BIGINT AS chunks, sum(changed)::BIGINT AS changed, sum(skipped)::BIGINT AS skipped, sum(removed)::BIGINT AS removed FROM p JOIN (SELECT DISTINCT url, source_url FROM docs) USING (url) GROUP BY ROLLUP (source_url)"
+    f"WITH {_DIFF}, p AS (SELECT url, industry, count(*) FILTER (state IN ('new', 'changed')) AS changed, count(*) FILTER (state = 'unchanged') AS skipped, count(*) FILTER (state = 'vanished') AS removed, count(*) FILTER (state <> 'vanished') AS chunks FROM diff GROUP BY ALL), "
+    "r AS (SELECT * FROM p JOIN (SELECT url, source_url, any_value(o_orderstatus) AS s FROM docs GROUP BY ALL) USING (url)) "
+    "SELECT source_url, count(*) FILTER (s IS DISTINCT FROM 'O') AS indexed_pages, count(*) FILTER (s = 'P') AS not_modified, sum(chunks)::BIGINT AS chunks, sum(changed)::BIGINT AS changed, sum(skipped)::BIGINT AS skipped, sum(removed)::BIGINT AS removed, "
+    "sha256(coalesce(string_agg(url || ': open', ',' ORDER BY url || ': open') FILTER (s = 'O'), '')) AS errors_hash, count(*) FILTER (s IS DISTINCT FROM 'O') > 0 OR count(*) FILTER (s = 'P') > 0 AS ok FROM r GROUP BY ROLLUP (source_url)"
 )
 def run_rollup(spark, d):
-    per_page = index.page_results(index.diff_chunks(*_sides(spark, d))).join(b.docs(spark, d).select("url", "source_url").distinct(), "url")
-    rows = per_page.withColumns({"ok": F.lit(True), "not_modified": F.lit(False), "error": F.lit(None).cast("string")})
-    return index.run_rollup(rows).select("source_url", "indexed_pages", "chunks", "changed", "skipped", "removed")
+    """Pages of open orders have failed, those of status P were not modified."""
+    state = F.coalesce("o_orderstatus", F.lit(""))
+    of = b.docs(spark, d).select("url", "source_url", state.alias("s")).distinct()
+    rows = index.page_results(index.diff_chunks(*_sides(spark, d))).join(of, "url")
+    rows = rows.withColumns({"ok": F.col("s") != "O", "not_modified": F.col("s") == "P", "error": F.when(F.col("s") == "O", F.lit("open"))})
+    return index.run_rollup(rows).select("source_url", "indexed_pages", "not_modified", "chunks", "changed", "skipped", "removed", F.sha2(F.array_join("errors", ","), 256).alias("errors_hash"), "ok")
 
 
-@query(f"WITH {_INDEX} SELECT 'https://' || source || '.example.org/' AS source_url, lang AS industry, count(id) AS removed FROM (SELECT DISTINCT source, lang FROM documents WHERE lang = 'de') LEFT JOIN old_c ON source_url = 'https://' || source || '.example.org/' AND industry = lang GROUP BY ALL")
+@query(
+    f"WITH {_INDEX}, seeds AS (SELECT DISTINCT source_url, industry FROM docs) "
+    "SELECT 'removed' AS kind, s.source_url AS name, s.industry, count(id) AS n FROM seeds s LEFT JOIN old_c o ON o.source_url = s.source_url AND o.industry = s.industry WHERE s.industry = 'de' GROUP BY ALL "
+    "UNION ALL SELECT 'chunk', id, industry, 1 FROM old_c WHERE industry IS DISTINCT FROM 'de' UNION ALL SELECT 'source', source_url, industry, 1 FROM seeds WHERE industry IS DISTINCT FROM 'de'"
+)
 def delete_source(spark, d):
-    """All German seeds go."""
-    seeds = b.docs(spark, d).filter("industry = 'de'").select(F.col("source_url").alias("url"), "industry").distinct()
-    _, _, removed = index.delete_source(_sides(spark, d)[0], seeds, seeds)
-    return removed
+    """All German seeds go: chunks removed for each, and the chunks and sources that are left."""
+    sources = b.docs(spark, d).select(F.col("source_url").alias("url"), "industry").distinct()
+    left, known, removed = index.delete_source(_sides(spark, d)[0], sources, sources.filter("industry = 'de'"))
+    one = lambda df, kind, c, n: df.select(F.lit(kind).alias("kind"), F.col(c).alias("name"), "industry", n.cast("long").alias("n"))
+    return one(removed, "removed", "source_url", F.col("removed")).union(one(left, "chunk", "id", F.lit(1))).union(one(known, "source", "url", F.lit(1)))
 
 
 @query(f"WITH {_INDEX} SELECT id FROM old_c WHERE url NOT IN (SELECT url FROM docs WHERE source_type = 'news')")
@@ -341,12 +351,9 @@ def incremental_index(spark, d):
 @query(f"WITH {b.DOCS}, {b.chunks_sql('c', 'docs')} SELECT id, url, content_hash FROM c")
 def ingest_stream(spark, d):
     """All documents as a stream of page versions; the snapshot that it leaves."""
-    from cairnfield.operators.pages import _checkpoint
     from cairnfield.streaming import ingest
 
-    _checkpoint(spark.range(1))
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    path = f"{base}/ingest-{uuid.uuid4().hex}"
+    path = f"{pages.shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     crawl = b.docs(spark, d).withColumns({"ok": F.col("text").isNotNull(), "error": F.lit(None).cast("string"), "fetched_at": F.lit(b.AS_OF).cast("timestamp"), "version_id": F.xxhash64("text")})
     crawl.drop("o_orderstatus", "doc_id").write.parquet(f"{path}/feed")
     feed = spark.readStream.schema(spark.read.parquet(f"{path}/feed").schema).parquet(f"{path}/feed")
@@ -452,17 +459,19 @@ def main_text(spark, d):
     return out.select("page_id", "title", text.content_hash(F.col("text")).alias("text_hash"), F.length("text").alias("n_chars"), "ok", "error")
 
 
-@query(r"""SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']+)["'']', 1)) AS h FROM pages) WHERE NOT regexp_matches(h, '(?i)^\s*(#|mailto:|javascript:|tel:)') GROUP BY 1""")
+@query(
+    r"""WITH l AS (SELECT url, unnest(h) AS raw, generate_subscripts(h, 1) - 1 AS seq FROM (SELECT url, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']+)["'']', 1) AS h FROM pages))
+SELECT url AS page_url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || raw AS href, seq::INT AS seq FROM l WHERE NOT regexp_matches(raw, '(?i)^\s*(#|mailto:|javascript:|tel:)')"""
+)
 def link_edges(spark, d):
-    p = b.table(spark, d, "pages")
-    found = pages.extract_links(p.withColumn("url", F.concat_ws("!", "url", "page_id")))
-    return found.groupBy(F.element_at(F.split("page_url", "!"), -1).cast("long").alias("page_id")).agg(F.count("href").alias("links"))
+    """The links of all pages, which are relative to their sites."""
+    return pages.extract_links(b.table(spark, d, "pages"))
 
 
 def _site_links(spark, d):
-    """Customers link to those of the numbers of their orders, on one host for each nation."""
+    """Customers link to those of a tenth of the numbers of their orders, on one host for each nation."""
     c = b.table(spark, d, "customer").select("c_custkey", F.format_string("https://n%d.example.org/c/%d", "c_nationkey", "c_custkey").alias("page"))
-    o = b.table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 1500).alias("to"))
+    o = b.table(spark, d, "orders").select("o_custkey", F.floor(F.col("o_orderkey") / 10).alias("to"))
     links = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("page").alias("src"), "to").join(c.select(F.col("c_custkey").alias("to"), F.col("page").alias("dst")), "to").select("src", "dst")
     seeds = c.groupBy(F.regexp_extract("page", "//([^/]+)", 1).alias("h")).agg(F.min("page").alias("url")).select("url")
     return seeds, links
@@ -470,7 +479,7 @@ def _site_links(spark, d):
 
 @query(
     """WITH c AS (SELECT c_custkey, 'n' || c_nationkey AS h, 'https://n' || c_nationkey || '.example.org/c/' || c_custkey AS page FROM customer),
-l AS (SELECT DISTINCT a.page AS src, z.page AS dst FROM orders JOIN c a ON o_custkey = a.c_custkey JOIN c z ON o_orderkey % 1500 = z.c_custkey AND a.h = z.h),
+l AS (SELECT DISTINCT a.page AS src, z.page AS dst FROM orders JOIN c a ON o_custkey = a.c_custkey JOIN c z ON o_orderkey // 10 = z.c_custkey AND a.h = z.h),
 s AS (SELECT min(page) AS seed FROM c GROUP BY h), d0 AS (SELECT seed, seed AS url, 0 AS depth FROM s), d1 AS (SELECT DISTINCT seed, dst AS url, 1 AS depth FROM d0 JOIN l ON url = src WHERE (seed, dst) NOT IN (SELECT (seed, url) FROM d0)),
 d2 AS (SELECT DISTINCT seed, dst AS url, 2 AS depth FROM d1 JOIN l ON url = src WHERE (seed, dst) NOT IN (SELECT (seed, url) FROM d0 UNION ALL SELECT (seed, url) FROM d1)), r AS (FROM d0 UNION ALL FROM d1 UNION ALL FROM d2)
 SELECT seed, url, depth::INT AS depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, url) AS n FROM r) WHERE n <= 10"""
@@ -479,18 +488,14 @@ def crawl_frontier(spark, d):
     return pages.crawl_frontier(*_site_links(spark, d), max_depth=2, max_pages=10)
 
 
-@query("SELECT o_orderkey, strftime(CASE WHEN year(o_orderdate) BETWEEN 1990 AND 2002 THEN o_orderdate END, '%Y-%m-%d') AS day FROM orders")
+@query("SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 6 < 4 AND year(o_orderdate) BETWEEN 1990 AND 2002 THEN o_orderdate END, '%Y-%m-%d') AS day FROM orders")
 def parse_dates(spark, d):
-    raw = F.date_format("o_orderdate", "yyyyMMdd")
+    """Compact dates, dates, times with an offset, dates before other text, prose, years too early."""
+    forms = ("yyyyMMdd", "yyyy-MM-dd", "yyyy-MM-dd'T12:30:00+01:00'", "yyyy-MM-dd 'at noon'", "MMMM d, yyyy", "'1970'-MM-dd")
+    raw = F.coalesce(*(F.when(F.col("o_orderkey") % 6 == i, F.date_format("o_orderdate", f)) for i, f in enumerate(forms)))
     return b.table(spark, d, "orders").select("o_orderkey", F.date_format(dates.parse_iso_date(raw, b.AS_OF), "yyyy-MM-dd").alias("day"))
 
 
-@query()
-def published_dates(spark, d):
-    """Dates stated in the pages' heads."""
-    return pages.extract_published_at(b.table(spark, d, "pages"), b.AS_OF).select("page_id", "published_at")
-
-
 # ------------------------------------------------------------------------------ answers and training
 
 
@@ -521,18 +526,19 @@ def parse_answers(spark, d):
 
 
 @query(
-    "WITH r AS (SELECT conv_id, arg_min(text, (turn, text)) AS t FROM conversations GROUP BY 1), v AS (SELECT conv_id, nullif(regexp_replace(substr(t, 1, 40), '^\\s+|\\s+$', '', 'g'), '') AS v FROM r) "
-    "SELECT conv_id, 0 AS ordinal, 'Net Zero?' AS name, v AS value, CASE WHEN v IS NULL THEN '' ELSE '1,3' END AS citations FROM v UNION ALL SELECT conv_id, 1, 'net-zero', 'second', '2' FROM v UNION ALL SELECT conv_id, 2, '!!', NULL, '' FROM v"
+    "WITH r AS (SELECT DISTINCT conv_id, turn, text AS t FROM conversations), v AS (SELECT conv_id, turn, sha256(coalesce(t, '')) AS reply, nullif(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '') AS v FROM r) "
+    "SELECT conv_id, turn, reply, 0 AS ordinal, 'Net Zero?' AS name, sha256(v) AS value_hash, CASE WHEN v IS NULL THEN '' ELSE '1,3' END AS citations FROM v UNION ALL SELECT conv_id, turn, reply, 1, 'net-zero', sha256('second'), '2' FROM v UNION ALL SELECT conv_id, turn, reply, 2, '!!', NULL, '' FROM v"
 )
 def parse_structured(spark, d):
-    """Three fields of which two have the same slug and one has none."""
-    first = b.table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("m")).select(F.col("conv_id").alias("request_id"), F.substring("m.text", 1, 40).alias("v"))
+    """Each whole turn as a value in a reply of three fields, of which two have the same slug and one has none."""
+    t = b.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("v")).distinct().withColumn("reply", F.sha2(F.coalesce("v", F.lit("")), 256))
+    first = t.withColumn("request_id", F.concat_ws(":", "conv_id", "turn", "reply"))
     entry = lambda v, s: F.struct(v.alias("value"), F.array(*map(F.lit, s)).alias("sources"))
     content = F.to_json(F.struct(entry(F.col("v"), (3, 1, 3, 9)).alias("net_zero"), entry(F.lit("second"), (2,)).alias("net_zero_2"), entry(F.lit(" "), (1,)).alias("field_2")))
     replies = first.select("request_id", content.alias("content"), F.lit(4).alias("n_passages"))
     fields = first.select("request_id", F.posexplode(F.array(F.lit("Net Zero?"), F.lit("net-zero"), F.lit("!!"))).alias("ordinal", "name"))
-    out = answers.parse_structured(replies, fields)
-    return out.select(F.col("request_id").alias("conv_id"), "ordinal", "name", "value", F.array_join(F.col("citations").cast("array<string>"), ",").alias("citations"))
+    out, key = answers.parse_structured(replies, fields), F.split("request_id", ":")
+    return out.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), key[2].alias("reply"), "ordinal", "name", F.sha2("value", 256).alias("value_hash"), F.array_join(F.col("citations").cast("array<string>"), ",").alias("citations"))
 
 
 @query("SELECT conv_id, (turn)::INT AS ordinal, left(role || ' ' || turn, 60) AS name, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::INT AS value_chars FROM conversations WHERE turn < 8 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
@@ -564,7 +570,12 @@ def training_pairs(spark, d):
     return train.build_pairs(replies, c).select("chunk_id", "url", F.length("positive").alias("passage_chars"), "query")
 
 
-@query(f"WITH {b.DOCS}, {b.chunks_sql('c', 'docs')} SELECT id AS chunk_id, contains(text, ' ') AS several_words FROM c")
+_QUOTES = "chr(10) || '\"\"\"' || chr(10)"
+
+
+@query(
+    f"WITH {b.DOCS}, {b.chunks_sql('c', 'docs')} SELECT id AS chunk_id, url, sha256('Passage:' || {_QUOTES} || substr(text, 1, 4000) || {_QUOTES} || chr(10) || "
+    "'Write 3 different search queries that this passage answers. Reply only with a JSON array of strings.') AS prompt_hash FROM c"
+)
 def synth_prompts(spark, d):
-    c = b.chunks(spark, d)
-    return train.synth_prompts(c).join(c.select("id", "text"), F.col("id") == F.col("chunk_id")).filter(F.col("prompt").contains(F.col("text"))).select("chunk_id", F.col("text").contains(" ").alias("several_words"))
+    return train.synth_prompts(b.chunks(spark, d)).select("chunk_id", "url", text.content_hash(F.col("prompt")).alias("prompt_hash"))

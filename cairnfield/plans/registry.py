@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import site_queries  # noqa: F401 - registers its queries
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

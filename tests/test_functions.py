@@ -1,4 +1,6 @@
+import re
 from datetime import datetime
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,40 @@ def test_highlight():
     assert highlight.query_terms("The scope 3 of it, emissions emissions") == ["scope", "emissions"]
 
 
+def _grown(query, body, size=highlight.WINDOW_CHARS):
+    """The passage without marks, one sentence after the other."""
+    parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+", body.strip()) if p.strip()]
+    if not parts:
+        return body[:size]
+    count = [sum(p.lower().count(t) for t in highlight.query_terms(query)) for p in parts]
+    lo = hi = count.index(max(count))
+    right = True
+    while len(" ".join(parts[lo: hi + 1])) < size and (lo > 0 or hi < len(parts) - 1):
+        if (right and hi < len(parts) - 1) or lo == 0:
+            hi += 1
+        else:
+            lo -= 1
+        right = not right
+    return " ".join(parts[lo: hi + 1])
+
+
+def test_highlights_query_against_brute_force(spark, sf_dir):
+    from cairnfield.plans.registry import QUERIES
+
+    rows = QUERIES["highlights"](spark, sf_dir).collect()
+    assert rows
+    for r in rows:
+        plain = unescape(re.sub(r"</?mark>", "", r.highlight))
+        whole = _grown(r.query, r.text)
+        most = highlight.WINDOW_CHARS + highlight.SLACK_CHARS
+        if len(whole) <= most:
+            assert plain == whole
+        else:
+            assert plain.endswith("…") and whole.startswith(plain[:-1]) and len(plain) <= most + 1
+        marked = {m.lower() for m in re.findall(r"<mark>(.*?)</mark>", r.highlight)}
+        assert marked <= set(highlight.query_terms(r.query))
+
+
 def test_default_scorers():
     v = HashingEncoder(16).encode(["a b", "a b", ""])
     assert (v[0] == v[1]).all() and abs((v[0] ** 2).sum() - 1) < 1e-6 and not v[2].any()
