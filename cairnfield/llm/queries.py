@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, language, line_dedup, quality, sharding, suffix_dedup, topk, toxicity
+from . import bpe, chat, decontaminate, jaccard_join, language, line_dedup, quality, sharding, suffix_dedup, topk, toxicity, trie
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_line_dedup": line_dedup.query,
     "op10_quality": quality.query,
+    "op11_chat_format": chat.query,
+    "op13_prefix_trie": trie.query,
 }
 
-ORACLES = {"op2_exact_topk": topk.ORACLE, "op3_decontamination": decontaminate.ORACLE}
+ORACLES = {
+    "op2_exact_topk": topk.ORACLE,
+    "op3_decontamination": decontaminate.ORACLE,
+    "op11_chat_format": chat.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
+}
