@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, jaccard_join, language, line_dedup, quality, sharding, suffix_dedup, topk, toxicity, trie
+from . import bpe, chat, decontaminate, jaccard_join, language, line_dedup, quality, sharding, suffix_dedup, topk, toxicity, trie, whitening
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_quality": quality.query,
     "op11_chat_format": chat.query,
+    "op12_whitening": whitening.query,
     "op13_prefix_trie": trie.query,
 }
 
