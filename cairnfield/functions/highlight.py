@@ -1,15 +1,13 @@
-"""The passage of a text that best answers a query, with its terms marked."""
+"""The passage of a text that best answers a query, with its terms marked. Built-in expressions alone."""
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-from html import escape
-from itertools import accumulate, zip_longest
+from functools import reduce
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .text import let, strip
 
 WINDOW_CHARS, SLACK_CHARS = 360, 80
 
@@ -19,46 +17,72 @@ STOP_WORDS = (
     "that", "this", "it", "its", "how", "what", "which", "do", "does", "we", "our", "their",
 )
 
+# A word of a query, the places where a sentence ends, and what stands for signs that HTML gives a meaning.
+QUERY_WORD = r"[A-Za-z0-9][A-Za-z0-9\-']+"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+|\n+"
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
+
 
-def query_terms(query: str) -> list[str]:
+def query_terms(query: Column) -> Column:
     """Distinct terms of three characters or more, in order."""
-    words = re.findall(r"[A-Za-z0-9][A-Za-z0-9\-']+", query.lower())
-    return list(dict.fromkeys(w for w in words if len(w) > 2 and w not in STOP_WORDS))
+    words = F.regexp_extract_all(F.lower(query), F.lit(QUERY_WORD), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.transform(F.split(strip(text), SENTENCE_END, -1), strip), lambda p: p != "")
+
+
+def term_hits(sentence: Column, terms: Column) -> Column:
+    """How often the terms occur, as parts of words, too; lower-case terms."""
+    return let(F.lower(sentence), lambda s: F.aggregate(terms, F.lit(0), lambda n, t: n + ((F.length(s) - F.length(F.replace(s, t))) / F.length(t)).cast("int")))
+
+
+def grown(parts: Column, best: Column, size: int) -> Column:
+    """(lo, hi), from 0: parts[best] with neighbours, right and left by turns, each while the whole is shorter than size.
+
+    A neighbour adds its length and a space, so no more than size / 2 of them can join.
+    """
+
+    def step(now: Column, turn: Column) -> Column:
+        right = (now["hi"] < F.size(parts) - 1) & ((turn % 2 == 1) | (now["lo"] == 0))
+        lo, hi = F.when(right, now["lo"]).otherwise(now["lo"] - 1), F.when(right, now["hi"] + 1).otherwise(now["hi"])
+        joins = (now["size"] < size) & (right | (now["lo"] > 0))
+        moved = F.struct(lo.alias("lo"), hi.alias("hi"), (now["size"] + 1 + F.length(F.get(parts, F.when(right, hi).otherwise(lo)))).alias("size"))
+        return F.when(joins, moved).otherwise(now)
+
+    first = F.struct(best.alias("lo"), best.alias("hi"), F.length(F.get(parts, best)).alias("size"))
+    turns = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(size // 2 + 1)))
+    return F.aggregate(turns, first, step)
 
 
-def _cut(text: str, most: int) -> str:
+def cut(text: Column, most: int) -> Column:
     """text, or its first whole words of at most `most` characters and an ellipsis."""
-    if len(text) <= most:
-        return text
-    head = text[:most]
-    return (head[: head.rindex(" ")] if " " in head else head) + "…"
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r" [^ ]*\z", ""), F.lit("…")))
+
+
+def escaped(text: Column) -> Column:
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ESCAPES, text)
 
 
-def passage(query: str | None, text: str | None, size: int = WINDOW_CHARS) -> str:
-    """The sentence with most term hits (the first of equals), grown to the right, then to the left, to about size characters.
+def marked(safe: Column, terms: Column) -> Column:
+    """Terms in <mark>, on word boundaries and in any case. Terms hold letters, digits, - and ' alone, so they are patterns as they are."""
+    pattern = F.concat(F.lit(r"(?Ui)\b("), F.array_join(terms, "|"), F.lit(r")\b"))
+    return F.when(F.size(terms) > 0, F.regexp_replace(safe, pattern, F.lit("<mark>$1</mark>"))).otherwise(safe)
 
-    The text is escaped before terms are wrapped in <mark>, on word boundaries.
+
+def highlight(query: Column, text: Column, size: int = WINDOW_CHARS) -> Column:
+    """The sentence with most term hits (the first of equals), grown to about size characters, escaped, terms in <mark>.
+
+    Null queries and texts count as empty. A text without sentences gives its first characters.
     """
-    query, text = query or "", text or ""
-    wanted = query_terms(query)
-    parts = [p for p in (x.strip() for x in re.split(r"(?<=[.!?])\s+|\n+", text.strip())) if p]
-    if parts:
-        hits = [sum(p.lower().count(t) for t in wanted) for p in parts]
-        best = hits.index(max(hits))
-        # neighbours in the order in which they join, and the size before each joins
-        sides = zip_longest(range(best + 1, len(parts)), range(best - 1, -1, -1))
-        order = [i for pair in sides for i in pair if i is not None]
-        sizes = list(accumulate((1 + len(parts[i]) for i in order), initial=len(parts[best])))
-        inside = [best, *order[: bisect_left(sizes, size)]]
-        chosen = _cut(" ".join(parts[min(inside): max(inside) + 1]), size + SLACK_CHARS)
-    else:
-        chosen = text[:size]
-    safe = escape(chosen)
-    if not wanted:
-        return safe
-    return re.sub(rf"\b({'|'.join(map(re.escape, wanted))})\b", r"<mark>\1</mark>", safe, flags=re.IGNORECASE)
-
-
-@F.pandas_udf(T.StringType())
-def highlight(query: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([passage(q, t) for q, t in zip(query, text, strict=True)], dtype=object)
+
+    def passage(parts: Column, terms: Column, whole: Column) -> Column:
+        hits = F.transform(parts, lambda p: term_hits(p, terms))
+        best = let(hits, lambda h: F.array_position(h, F.array_max(h)).cast("int") - 1)
+        found = let(grown(parts, best, size), lambda w: F.array_join(F.slice(parts, w["lo"] + 1, w["hi"] - w["lo"] + 1), " "))
+        chosen = F.when(F.size(parts) > 0, cut(found, size + SLACK_CHARS)).otherwise(F.substring(whole, 1, size))
+        return marked(escaped(chosen), terms)
+
+    terms = query_terms(F.coalesce(query, F.lit("")))
+    return let(F.coalesce(text, F.lit("")), lambda whole: let(sentences(whole), lambda parts: let(terms, lambda t: passage(parts, t, whole))))

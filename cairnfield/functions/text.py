@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,24 +35,28 @@ IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 LINK = r"\[([^\]]+)\]\([^)]*\)"
 BARE_URL = r"(?U)https?://\S+"
 DECORATION = r"(?Umd)^[\s>*\-#=_|`]+$"
-OUTER_SPACE = r"(?U)^\s+|\s+$"
+#: All white space of Unicode.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once, however often use() names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def strip(col: Column) -> Column:
     """Trim all kinds of white space (trim() knows spaces alone)."""
-    return F.regexp_replace(col, OUTER_SPACE, "")
+    return F.btrim(col, F.lit(SPACE))
 
 
 def drop_consent_lines(col: Column) -> Column:
     """Without the lines that mention cookies or hold a consent phrase; the bare word "consent" stays."""
-    phrases = "|".join(re.escape(p) for p in ("cookie", *CONSENT_PHRASES))
 
     def is_noise(text: Column) -> Column:
-        return F.lower(text).rlike(phrases)
+        return let(F.lower(text), lambda low: reduce(or_, (F.contains(low, F.lit(p)) for p in ("cookie", *CONSENT_PHRASES))))
 
-    # phrases hold no newline: a text without any is left alone, and is looked at once
-    kept = F.array_join(F.filter(F.split(col, "\n"), lambda line: ~is_noise(line)), "\n")
-    return F.when(is_noise(col), kept).otherwise(col)
+    # phrases hold no newline: a text without any is left alone
+    return let(col, lambda text: F.when(is_noise(text), F.array_join(F.filter(F.split(text, "\n"), lambda line: ~is_noise(line)), "\n")).otherwise(text))
 
 
 def clean_markdown(col: Column) -> Column:
@@ -64,7 +69,8 @@ def clean_markdown(col: Column) -> Column:
 def normalize_text(col: Column) -> Column:
     """Clean markdown with one kind of newline, single spaces and at most one blank line in a row."""
     col = clean_markdown(F.regexp_replace(col, "\r\n?", "\n"))
-    col = F.regexp_replace(F.regexp_replace(col, "[ \t]+", " "), "\n{3,}", "\n\n")
+    # single spaces match nothing, so most of a text is copied as it is
+    col = F.regexp_replace(F.regexp_replace(col, "[ \t]{2,}|\t", " "), "\n{3,}", "\n\n")
     return strip(col)
 
 

@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfield.functions.highlight import SLACK_CHARS, STOP_WORDS, WINDOW_CHARS
 from cairnfield.functions.text import CONSENT_PHRASES
-from cairnfield.operators.chunking import chunk_windows
+from cairnfield.operators.chunking import chunk_windows, spread
 
 AS_OF = datetime(2001, 8, 2)
 SIZE, OVERLAP = 128, 16
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of sites; the date is that of the order with the same number."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("published_at"), "o_orderstatus")
     return d.join(o, "doc_id", "left").select(
         "doc_id",
@@ -136,11 +137,11 @@ OLD_DOCS = "old_docs AS (SELECT * REPLACE (CASE WHEN o_orderstatus = 'F' THEN 'E
 def chunks_sql(name: str, source: str, size: int = SIZE, overlap: int = OVERLAP) -> str:
     step = size - overlap
     return rf"""{name} AS (
-  SELECT sha256(url || '#' || ordinal) AS id, * EXCLUDE (tk), array_to_string(tk[ordinal * {step} + 1 : ordinal * {step} + {size}], ' ') AS text,
-         len(tk[ordinal * {step} + 1 : ordinal * {step} + {size}])::INT AS token_count,
-         sha256(array_to_string(tk[ordinal * {step} + 1 : ordinal * {step} + {size}], ' ')) AS content_hash
-  FROM (SELECT *, unnest(range(0, greatest(ceil((len(tk) - {size}) / {step}), 0)::BIGINT + 1))::INT AS ordinal
-        FROM (SELECT * EXCLUDE (text), list_filter(string_split_regex({norm_sql("text")}, '\s+'), lambda w: w <> '') AS tk FROM {source}) WHERE len(tk) > 0))"""
+  SELECT sha256(url || '#' || ordinal) AS id, * EXCLUDE (tk, w), regexp_replace(array_to_string(w, ''), '\s+$', '') AS text, len(w)::INT AS token_count, sha256(regexp_replace(array_to_string(w, ''), '\s+$', '')) AS content_hash,
+         length(array_to_string(tk[1 : ordinal * {step}], ''))::INT AS begin_char, (length(array_to_string(tk[1 : ordinal * {step}], '')) + length(regexp_replace(array_to_string(w, ''), '\s+$', '')))::INT AS end_char
+  FROM (SELECT *, tk[ordinal * {step} + 1 : ordinal * {step} + {size}] AS w
+        FROM (SELECT *, unnest(range(0, greatest(ceil((len(tk) - {size}) / {step}), 0)::BIGINT + 1))::INT AS ordinal
+              FROM (SELECT * EXCLUDE (text), regexp_extract_all({norm_sql("text")}, '\S+\s*') AS tk FROM {source}) WHERE len(tk) > 0)))"""
 
 
 VECTORS = f"""vectors AS (
@@ -171,6 +172,29 @@ def bm25_sql(name: str, queries: str, corpus: str, k: int, scope: str | None) ->
   FROM {name}_tf JOIN {name}_df USING ({by}term) JOIN {name}_n {on} JOIN {name}_q USING (industry, term) GROUP BY query_id, chunk_id)) WHERE rank <= {k})"""
 
 
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def highlight_sql(name: str, hits: str) -> str:
+    """hits: query_id, chunk_id, query, text; adds highlight. Letters outside ASCII stand between underscores while terms are marked, as word boundaries are ASCII's here."""
+    strip = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')".format
+    most = WINDOW_CHARS + SLACK_CHARS
+    return rf"""{name}_w AS (SELECT query_id, chunk_id, text, list_filter(regexp_extract_all(lower(query), '[A-Za-z0-9][A-Za-z0-9\-'']+'), lambda w: len(w) > 2 AND w NOT IN ({_STOPS})) AS w FROM {hits}),
+{name}_p AS (SELECT query_id, chunk_id, text, list_filter(w, lambda x, i: list_position(w, x) = i) AS terms,
+  list_filter(list_transform(string_split(regexp_replace({strip("text")}, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda p: {strip("p")}), lambda p: p <> '') AS parts FROM {name}_w),
+{name}_h AS (SELECT *, list_transform(parts, lambda p: coalesce(list_sum(list_transform(terms, lambda t: ((len(lower(p)) - len(replace(lower(p), t, ''))) / len(t))::INT)), 0)) AS hits FROM {name}_p),
+{name}_b AS (SELECT *, list_position(hits, list_max(hits))::BIGINT AS best FROM {name}_h),
+{name}_g AS (SELECT *, list_reduce(list_prepend({{'lo': best, 'hi': best, 'n': len(parts[best]), 't': 0::BIGINT}}, list_transform(range(1, len(parts) + 1), lambda i: {{'lo': 0::BIGINT, 'hi': 0::BIGINT, 'n': 0::BIGINT, 't': i}})),
+  lambda a, x: CASE WHEN a.n >= {WINDOW_CHARS} OR (a.lo = 1 AND a.hi = len(parts)) THEN a
+    WHEN a.hi < len(parts) AND (x.t % 2 = 1 OR a.lo = 1) THEN {{'lo': a.lo, 'hi': a.hi + 1, 'n': a.n + 1 + len(parts[a.hi + 1]), 't': x.t}}
+    ELSE {{'lo': a.lo - 1, 'hi': a.hi, 'n': a.n + 1 + len(parts[a.lo - 1]), 't': x.t}} END) AS g FROM {name}_b WHERE len(parts) > 0),
+{name}_c AS (SELECT query_id, chunk_id, terms, array_to_string(parts[g.lo : g.hi], ' ') AS f FROM {name}_g),
+{name}_e AS (SELECT query_id, chunk_id, terms, CASE WHEN len(f) <= {most} THEN f ELSE regexp_replace(substr(f, 1, {most}), ' [^ ]*$', '') || '…' END AS f FROM {name}_c
+  UNION ALL SELECT query_id, chunk_id, terms, substr(text, 1, {WINDOW_CHARS}) FROM {name}_b WHERE len(parts) = 0),
+{name}_s AS (SELECT query_id, chunk_id, terms, regexp_replace(replace(replace(replace(replace(replace(f, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'), '([^\x00-\x7F…])', '_\1_', 'g') AS f FROM {name}_e),
+{name} AS (SELECT query_id, chunk_id, regexp_replace(CASE WHEN len(terms) = 0 THEN f ELSE regexp_replace(f, '(?i)\b(' || array_to_string(terms, '|') || ')\b', '<mark>\1</mark>', 'g') END, '_([^\x00-\x7F…])_', '\1', 'g') AS highlight FROM {name}_s)"""
+
+
 SOURCES = f"""sources AS (
   SELECT c_custkey, c_name AS url, {TYPES_SQL}[c_custkey % 6 + 1] AS source_type, c_mktsegment AS industry, ['hourly', 'daily', 'weekly', 'monthly'][c_nationkey % 4 + 1] AS cadence,
          coalesce(pages, 0)::INT AS pages, CASE WHEN c_custkey % 10 <> 0 THEN last END AS last_crawl

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import dates, text, urls
 from cairnfield.functions.encoders import QUERY_INSTRUCTION
 from cairnfield.functions.highlight import highlight
+from cairnfield.operators.chunking import spread
 from cairnfield.operators import answers, embed, evaluate, index, pages, rank, registry, retrieve, train
 
 from . import bindings as b
@@ -37,12 +38,12 @@ def query(sql: str | None = None):
 @query(f"SELECT doc_id, sha256({b.norm_sql('text')}) AS clean_hash, length({b.norm_sql('text')})::INT AS n_chars FROM documents")
 def clean_text(spark, d):
     clean = text.normalize_text(F.coalesce("text", F.lit("")))
-    return b.table(spark, d, "documents").withColumn("c", clean).select("doc_id", text.content_hash(F.col("c")).alias("clean_hash"), F.length("c").alias("n_chars"))
+    return spread(b.table(spark, d, "documents")).withColumn("c", clean).select("doc_id", text.content_hash(F.col("c")).alias("clean_hash"), F.length("c").alias("n_chars"))
 
 
-@query(f"WITH {b.DOCS}, {b.chunks_sql('c', 'docs')} SELECT id, url, ordinal, token_count, content_hash FROM c")
+@query(f"WITH {b.DOCS}, {b.chunks_sql('c', 'docs')} SELECT id, url, ordinal, begin_char, end_char, token_count, content_hash FROM c")
 def chunk_windows(spark, d):
-    return b.chunks(spark, d).select("id", "url", "ordinal", "token_count", "content_hash")
+    return b.chunks(spark, d).select("id", "url", "ordinal", "begin_char", "end_char", "token_count", "content_hash")
 
 
 # ------------------------------------------------------------------------------ retrieval
@@ -108,16 +109,16 @@ def recency_prior(spark, d):
     return rank.recency_prior(hits, b.AS_OF).select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
 
 
-#: Result rows of hits r (query_id, chunk_id, rank, score): boosted, ranked, as format_results gives them, without highlight.
-_RESULTS = f"""boosted AS (SELECT query_id, chunk_id, rank AS was, score * {_BOOST.format(boost='0.05')} AS score, url, source_type, published_at FROM r JOIN vectors ON chunk_id = id)
+#: Result rows of hits r (query_id, chunk_id, rank, score): boosted, ranked, as format_results gives them.
+_RESULTS = f"""shown AS (SELECT query_id, chunk_id, query, text FROM r JOIN (SELECT id, text FROM vectors) ON chunk_id = id JOIN (SELECT query_id, query FROM asked) USING (query_id)), {b.highlight_sql('hl', 'shown')},
+boosted AS (SELECT query_id, chunk_id, rank AS was, score * {_BOOST.format(boost='0.05')} AS score, url, source_type, published_at FROM r JOIN vectors ON chunk_id = id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, was)::INT AS rank, url, 'Vector ' || chunk_id AS title, NULL::VARCHAR AS org, source_type, round(score, 4) AS score,
-       coalesce(published_at >= {AS_OF_SQL} - INTERVAL 7 DAY, false) AS fresh, strftime(published_at, '%Y-%m-%d') AS published_at FROM boosted"""
+       coalesce(published_at >= {AS_OF_SQL} - INTERVAL 7 DAY, false) AS fresh, strftime(published_at, '%Y-%m-%d') AS published_at, highlight FROM boosted JOIN hl USING (query_id, chunk_id)"""
 
 
 @query(f"WITH {b.VECTORS}, {b.dense_sql('r', 10)}, {_RESULTS}")
 def search_fast(spark, d):
-    """Result rows but for highlights, which have a query of their own."""
-    return rank.search_fast(b.vector_queries(spark, d), b.dated_vectors(spark, d), 10, b.AS_OF).drop("highlight")
+    return rank.search_fast(b.vector_queries(spark, d), b.dated_vectors(spark, d), 10, b.AS_OF)
 
 
 _SHARE = f"len(list_intersect(list_distinct({b.terms_sql('query')}), list_distinct({b.terms_sql('text')}))) / len(list_distinct({b.terms_sql('query')}))"
@@ -128,13 +129,12 @@ _SHARE = f"len(list_intersect(list_distinct({b.terms_sql('query')}), list_distin
     f"r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 10), {_RESULTS}"
 )
 def search_quality(spark, d):
-    """Result rows but for highlights, which have a query of their own."""
-    return rank.search_quality(b.vector_queries(spark, d), b.dated_vectors(spark, d), 10, b.AS_OF).drop("highlight")
+    return rank.search_quality(b.vector_queries(spark, d), b.dated_vectors(spark, d), 10, b.AS_OF)
 
 
-@query()
+@query(f"WITH {b.VECTORS}, {b.dense_sql('r', 10)}, shown AS (SELECT query_id, chunk_id, query, text FROM r JOIN (SELECT id, text FROM vectors) ON chunk_id = id JOIN (SELECT query_id, query FROM asked) USING (query_id)), {b.highlight_sql('hl', 'shown')} SELECT query_id, chunk_id, query, text, highlight FROM shown JOIN hl USING (query_id, chunk_id)")
 def highlights(spark, d):
-    """The highlight of each result of the fast search, with the texts it comes from; tested against brute force."""
+    """The highlight of each result of the fast search, with the texts it comes from."""
     hits = retrieve.hydrate(retrieve.dense_topk(b.vector_queries(spark, d), b.vectors(spark, d), 10), b.dated_vectors(spark, d), b.AS_OF)
     asked = hits.join(b.vector_queries(spark, d).select("query_id", "query"), "query_id")
     return asked.select("query_id", "chunk_id", "query", "text", highlight(F.col("query"), F.col("text")).alias("highlight"))
