@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions import dates, text, urls
 from cairnfield.functions.html import main_text
 
+from .stages import shared_dir
+
 
 def dedupe_pages(pages: DataFrame, order_col: str = "page_seq", url_col: str = "url") -> DataFrame:
     """One row for each canonical URL: the first crawled, failed or not. Its key is found before wide columns move."""
@@ -99,18 +100,6 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = 1, max_p
     return reached.withColumn("__r", rank).join(limits.select("seed", "max_pages"), "seed").filter("__r <= max_pages").select("seed", "url", "depth")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set and the master is local, else an error."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base
-
-
 def _checkpoint(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

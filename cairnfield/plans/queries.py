@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from cairnfield.functions import dates, text, urls
 from cairnfield.functions.encoders import QUERY_INSTRUCTION
 from cairnfield.functions.highlight import highlight
-from cairnfield.operators.chunking import spread
 from cairnfield.operators import answers, embed, evaluate, index, pages, rank, registry, retrieve, train
+from cairnfield.operators.chunking import spread
+from cairnfield.operators.stages import Stages, shared_dir
+from cairnfield.sources import snapshots
+from cairnfield.streaming import ingest
 
 from . import bindings as b
 
@@ -251,7 +254,9 @@ _DIFF = f"""{_INDEX}, diff AS (
 
 
 def _sides(spark, d):
-    return b.index_of(b.old_docs(spark, d)), b.index_of(b.docs(spark, d))
+    """The index before the crawl and the chunks of the crawl, as written tables."""
+    stages = Stages(spark)
+    return stages.keep(b.index_of(b.old_docs(spark, d))), stages.keep(b.index_of(b.docs(spark, d)))
 
 
 @query(f"WITH {_DIFF} SELECT id, url, state FROM diff")
@@ -304,7 +309,7 @@ def page_results(spark, d):
     f"WITH {_DIFF}, p AS (SELECT url, industry, count(*) FILTER (state IN ('new', 'changed')) AS changed, count(*) FILTER (state = 'unchanged') AS skipped, count(*) FILTER (state = 'vanished') AS removed, count(*) FILTER (state <> 'vanished') AS chunks FROM diff GROUP BY ALL), "
     "r AS (SELECT * FROM p JOIN (SELECT url, source_url, any_value(o_orderstatus) AS s FROM docs GROUP BY ALL) USING (url)) "
     "SELECT source_url, count(*) FILTER (s IS DISTINCT FROM 'O') AS indexed_pages, count(*) FILTER (s = 'P') AS not_modified, sum(chunks)::BIGINT AS chunks, sum(changed)::BIGINT AS changed, sum(skipped)::BIGINT AS skipped, sum(removed)::BIGINT AS removed, "
-    "sha256(coalesce(string_agg(url || ': open', ',' ORDER BY url || ': open') FILTER (s = 'O'), '')) AS errors_hash, count(*) FILTER (s IS DISTINCT FROM 'O') > 0 OR count(*) FILTER (s = 'P') > 0 AS ok FROM r GROUP BY ROLLUP (source_url)"
+    "count(*) FILTER (s = 'O') AS n_errors, sha256(coalesce(array_to_string(list_sort(list(url || ': open') FILTER (s = 'O'))[1:20], ','), '')) AS errors_hash, count(*) FILTER (s IS DISTINCT FROM 'O') > 0 OR count(*) FILTER (s = 'P') > 0 AS ok FROM r GROUP BY ROLLUP (source_url)"
 )
 def run_rollup(spark, d):
     """Pages of open orders have failed, those of status P were not modified."""
@@ -312,7 +317,8 @@ def run_rollup(spark, d):
     of = b.docs(spark, d).select("url", "source_url", state.alias("s")).distinct()
     rows = index.page_results(index.diff_chunks(*_sides(spark, d))).join(of, "url")
     rows = rows.withColumns({"ok": F.col("s") != "O", "not_modified": F.col("s") == "P", "error": F.when(F.col("s") == "O", F.lit("open"))})
-    return index.run_rollup(rows).select("source_url", "indexed_pages", "not_modified", "chunks", "changed", "skipped", "removed", F.sha2(F.array_join("errors", ","), 256).alias("errors_hash"), "ok")
+    out = index.run_rollup(Stages(spark).keep(rows))
+    return out.select("source_url", "indexed_pages", "not_modified", "chunks", "changed", "skipped", "removed", "n_errors", F.sha2(F.array_join("first_errors", ","), 256).alias("errors_hash"), "ok")
 
 
 @query(
@@ -333,31 +339,85 @@ def delete_url(spark, d):
     return index.delete_url(_sides(spark, d)[0], b.docs(spark, d).filter("source_type = 'news'")).select("id")
 
 
-@query(
+_CRAWLED = (
     f"WITH {_UPSERTED}, ok AS (SELECT DISTINCT source_url, industry, url FROM docs WHERE text IS NOT NULL AND {b.norm_sql('text')} <> ''), fetched AS (SELECT DISTINCT source_url, industry FROM docs WHERE text IS NOT NULL), "
     f"stamps AS (SELECT url, max(published_at) AS date FROM docs WHERE published_at IS NOT NULL AND text IS NOT NULL AND {b.norm_sql('text')} <> '' GROUP BY 1) "
     "SELECT id, url, content_hash, strftime(coalesce(date, published_at), '%Y-%m-%d') AS published_at, strftime(crawled_at, '%Y-%m-%d') AS crawled_at FROM upserted u LEFT JOIN stamps USING (url) "
     "WHERE NOT EXISTS (FROM fetched f WHERE f.source_url = u.source_url AND f.industry = u.industry) OR EXISTS (FROM ok o WHERE o.source_url = u.source_url AND o.industry = u.industry AND o.url = u.url)"
 )
+#: Counts of a page's chunks, and what it failed of.
+_PAGE_RESULTS = (
+    f"WITH {_DIFF}, p AS (SELECT url, industry, count(*) FILTER (state IN ('new', 'changed')) AS changed, count(*) FILTER (state = 'unchanged') AS skipped, count(*) FILTER (state = 'vanished') AS removed, count(*) FILTER (state <> 'vanished') AS chunks FROM diff GROUP BY ALL) "
+    "SELECT url, coalesce(changed, 0) AS changed, coalesce(skipped, 0) AS skipped, coalesce(removed, 0) AS removed, coalesce(chunks, 0) AS chunks, coalesce(chunks, 0) > 0 AS ok, "
+    "CASE WHEN text IS NULL THEN 'crawl failed' WHEN coalesce(chunks, 0) = 0 THEN 'empty after cleaning' END AS error FROM docs LEFT JOIN p USING (url, industry)"
+)
+
+
+def _crawl(docs):
+    """docs as what a crawl fetched; documents without text are failures."""
+    return docs.withColumns({"ok": F.col("text").isNotNull(), "error": F.lit(None).cast("string")})
+
+
+def _chunk_days(index):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return index.select("id", "url", "content_hash", day("published_at"), day("crawled_at"))
+
+
+def _incremental(spark, d):
+    stages = Stages(spark)
+    old = stages.keep(embed.embed_docs(b.index_of(b.old_docs(spark, d))))
+    return index.incremental_index(old, _crawl(b.docs(spark, d)), b.AS_OF, size=b.SIZE, overlap=b.OVERLAP, stages=stages)
+
+
+@query(_CRAWLED)
 def incremental_index(spark, d):
     """The composed job over all documents as a crawl."""
-    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-    old = embed.embed_docs(b.index_of(b.old_docs(spark, d)))
-    crawl = b.docs(spark, d).withColumns({"ok": F.col("text").isNotNull(), "error": F.lit(None).cast("string")})
-    out, _ = index.incremental_index(old, crawl, b.AS_OF, size=b.SIZE, overlap=b.OVERLAP)
-    return out.select("id", "url", "content_hash", day("published_at"), day("crawled_at"))
+    return _chunk_days(_incremental(spark, d)[0])
+
+
+@query(_PAGE_RESULTS)
+def incremental_results(spark, d):
+    """What the composed job says of each page."""
+    return _incremental(spark, d)[1].select("url", "changed", "skipped", "removed", "chunks", "ok", "error")
 
 
-@query(f"WITH {b.DOCS}, {b.chunks_sql('c', 'docs')} SELECT id, url, content_hash FROM c")
+@query(_CRAWLED)
+def bucketed_index(spark, d):
+    """Two crawls over the index on disk, which rewrite only the buckets that change; what a reader then sees."""
+    store = snapshots.BucketedIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=8)
+    for version, (docs, as_of) in enumerate(((b.old_docs(spark, d), datetime(2001, 7, 1)), (b.docs(spark, d), b.AS_OF))):
+        with Stages(spark) as stages:
+            index.update_index(store, version, stages.keep(_crawl(docs).drop("o_orderstatus", "doc_id")), as_of, size=b.SIZE, overlap=b.OVERLAP, stages=stages)
+    return _chunk_days(store.read())
+
+
+_LAST_VERSIONS = b.DOCS.replace("docs AS (", "given AS (") + ", docs AS (SELECT * REPLACE (CASE WHEN doc_id % 3 = 2 THEN text ELSE 'Earlier version . ' || text END AS text) FROM given)"
+
+
+@query(f"WITH {_LAST_VERSIONS}, {b.chunks_sql('c', 'docs')} SELECT id, url, content_hash FROM c")
 def ingest_stream(spark, d):
-    """All documents as a stream of page versions; the snapshot that it leaves."""
-    from cairnfield.streaming import ingest
-
-    path = f"{pages.shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    crawl = b.docs(spark, d).withColumns({"ok": F.col("text").isNotNull(), "error": F.lit(None).cast("string"), "fetched_at": F.lit(b.AS_OF).cast("timestamp"), "version_id": F.xxhash64("text")})
-    crawl.drop("o_orderstatus", "doc_id").write.parquet(f"{path}/feed")
-    feed = spark.readStream.schema(spark.read.parquet(f"{path}/feed").schema).parquet(f"{path}/feed")
-    ingest.ingest_stream(feed, f"{path}/index", f"{path}/checkpoint", size=b.SIZE, overlap=b.OVERLAP).awaitTermination()
+    """All documents as a stream of page versions in three batches; the index that it leaves.
+
+    Every page first has an earlier version. Then two of three get their text. Then one of those goes back to the earlier version, the other
+    one has a version from in between come late, and the third's fetch fails.
+    """
+    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    crawl = Stages(spark).keep(_crawl(b.docs(spark, d)).withColumn("part", F.col("doc_id") % 3).drop("o_orderstatus", "doc_id"))
+
+    def version(part, day, text, ok=None):
+        rows = crawl.filter(part).withColumn("text", text).withColumns({"fetched_at": F.lit(datetime(2001, 8, day)).cast("timestamp"), "version_id": F.xxhash64("text")})
+        return rows.withColumn("ok", F.lit(ok) if ok is not None else F.col("ok")).drop("part")
+
+    earlier, now = F.concat(F.lit("Earlier version . "), "text"), F.col("text")
+    batches = (
+        version("true", 1, earlier),
+        version("part > 0", 4, now),
+        version("part = 1", 5, earlier).unionByName(version("part = 2", 2, F.concat(F.lit("Out of date . "), "text"))).unionByName(version("part = 0", 5, now, ok=False)),
+    )
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{path}/feed")
+        feed = spark.readStream.schema(batch.schema).parquet(f"{path}/feed")
+        ingest.ingest_stream(feed, f"{path}/index", f"{path}/checkpoint", buckets=8, size=b.SIZE, overlap=b.OVERLAP).awaitTermination()
     return ingest.latest_snapshot(spark, f"{path}/index").select("id", "url", "content_hash")
 
 

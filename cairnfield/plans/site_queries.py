@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cairnfield.operators import pages, train
+from cairnfield.operators.stages import shared_dir
 from cairnfield.sources import readers
 
 from . import bindings as b
@@ -15,7 +16,7 @@ from .queries import query
 
 def _folder(spark) -> str:
     """A new folder in the place that driver and executors share."""
-    return f"{pages.shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def _day(c: str):

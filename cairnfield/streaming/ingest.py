@@ -1,57 +1,98 @@
-"""The recrawl loop as a stream: page versions arrive as files, each micro-batch makes the next index snapshot."""
+"""The recrawl loop as a stream: page versions arrive as files, each micro-batch makes the next version of the index.
+
+The newest version of each page is keyed state: its time of fetching and its version_id. A version passes if it was fetched later than
+what the state knows, whatever batches the versions are split into and in whatever order they come; one whose content is
+already the newest only moves the time on. State goes when the watermark has passed it: from then on every version that is
+not too late is newer anyway.
+"""
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cairnfield.operators.index import incremental_index
-from cairnfield.sources.readers import CHUNKS
+from cairnfield.operators.index import update_index
+from cairnfield.operators.stages import Stages
+from cairnfield.sources.snapshots import BUCKETS, BucketedIndex
 
 LATE = "7 days"
 
 
 def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest snapshot (of batches before `before`); an empty index if there is none. A snapshot is whole once it is listed."""
-    try:
-        log = spark.read.schema("batch bigint").json(f"{path}/log")
-        if before is not None:
-            log = log.filter(F.col("batch") < before)
-        newest = log.agg(F.max("batch")).first()[0]
-    except Exception as e:  # no log yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        newest = None
-    if newest is None:
-        return spark.createDataFrame([], CHUNKS)
-    return spark.read.schema(CHUNKS).parquet(f"{path}/snapshot={newest}")
-
-
-def newest_versions(pages: DataFrame) -> DataFrame:
-    """The newest version of each URL of a vertical in a batch."""
-    best = pages.groupBy("url", "industry").agg(F.max_by(F.struct(*pages.columns), F.struct("fetched_at", F.xxhash64(*pages.columns))).alias("r"))
-    return best.select("r.*")
-
-
-def ingest_stream(pages: DataFrame, path: str, checkpoint: str, encoder=None, late: str = LATE, **options) -> StreamingQuery:
+    """The index as the newest batch (before `before`) left it; empty if there is none."""
+    return BucketedIndex(spark, path).read(before=before)
+
+
+def _order(at: int, version: str | None) -> tuple:
+    """Later first fetched, then the greater version_id: an order that no split into batches changes."""
+    return at, version is not None, version or ""
+
+
+def newest_version(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The page's newest version of this batch, if it is newer than all before it; of failed fetches the newest, if nothing else passes.
+
+    A failed fetch leaves the state as it is, so that a fetch from before it still counts.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
+    best, failed = None, None
+    for pdf in batches:
+        at = pdf["fetched_at"].astype("datetime64[us]").astype("int64")
+        ok = pdf["ok"].fillna(False).astype(bool)
+        for i in range(len(pdf)):
+            version = pdf["version_id"].iloc[i]
+            row = (_order(int(at.iloc[i]), None if pd.isna(version) else str(version)), pdf.iloc[i : i + 1])
+            if ok.iloc[i]:
+                best = row if best is None or row[0] > best[0] else best
+            else:
+                failed = row if failed is None or row[0] > failed[0] else failed
+    known = state.getOption
+    seen = _order(*known) if known else None
+    if best and (seen is None or best[0] > seen):
+        at, has, version = best[0]
+        state.update((at, version if has else None))
+        state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + 1)
+        if seen is None or seen[1:] != best[0][1:]:
+            yield best[1]
+        return
+    if known:
+        state.setTimeoutTimestamp(max(known[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+    if failed and (seen is None or failed[0] > seen):
+        yield failed[1]
+
+
+def newest_versions(pages: DataFrame, late: str = LATE) -> DataFrame:
+    """A stream of page versions (url, industry, fetched_at, version_id, ok and others) without those that are not the newest of their page.
+
+    Versions older than the watermark (`late` behind the latest fetch) or without fetched_at are dropped.
+    """
+    dated = pages.filter("fetched_at is not null").withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withWatermark("fetched_at", late)
+    return dated.groupBy("url", "industry").applyInPandasWithState(newest_version, dated.schema, "at bigint, version string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ingest_stream(pages: DataFrame, path: str, checkpoint: str, encoder=None, late: str = LATE, buckets: int = BUCKETS, **options) -> StreamingQuery:
     """Starts the stream (availableNow): pages need version_id and fetched_at besides the columns of incremental_index.
 
-    Repeated versions within the watermark and versions later than it are dropped. A batch that is run again writes the same snapshot
-    from the same predecessor, so that a restart changes nothing.
+    Each batch is a version of the bucketed index at path, with its results per page in path/results/batch=n. Versions are single
+    pages, not whole seeds: a fetched page without text loses its chunks, a failed fetch and pages that do not occur change nothing.
+    A batch that is run again reads the same state and the same predecessor, so that a restart changes nothing.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        index = latest_snapshot(spark, path, batch_id)
-        rows = newest_versions(batch)
-        as_of = rows.agg(F.max("fetched_at")).first()[0] or datetime(1970, 1, 1)
-        following, results = incremental_index(index, rows.drop("fetched_at", "version_id"), as_of, encoder, **options)
-        following.write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
-        results.write.mode("overwrite").parquet(f"{path}/results={batch_id}")
-        spark.createDataFrame([(batch_id,)], "batch bigint").coalesce(1).write.mode("append").json(f"{path}/log")
-
-    fresh = pages.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["url", "industry", "version_id"])
-    return fresh.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        with Stages(spark, f"{path}/stages/batch={batch_id}") as stages:
+            rows = stages.keep(batch)
+            as_of = rows.agg(F.max("fetched_at")).first()[0]
+            if as_of is None:
+                return
+            store = BucketedIndex(spark, path, buckets)
+            results = update_index(store, batch_id, rows.drop("fetched_at", "version_id"), as_of, encoder, whole_seeds=False, stages=stages, **options)
+            results.write.mode("overwrite").parquet(f"{path}/results/batch={batch_id}")
+
+    return newest_versions(pages, late).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
