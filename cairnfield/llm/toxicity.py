@@ -45,8 +45,10 @@ def _present(data, off) -> tuple[np.ndarray, np.ndarray]:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with `label`, about `rows` of either class. Chosen by a hash of the id, so the same for any partitioning.
 
-    Ids whose labels contradict each other and null labels are left out.
+    Ids whose labels contradict each other and null labels are left out; a label row that is repeated counts once, repeated docs
+    are rows of their own. A column of docs named label is replaced. No labels or no docs: no rows.
     """
+    docs = docs.drop("label")
     one = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"), F.max(label_col).alias("__max"))
     one = one.filter("label = __max").select(id_col, F.col("label").cast("int").alias("label"), (F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)).alias("__u"))
     n = {r[0]: r[1] for r in one.groupBy("label").count().collect()}

@@ -135,3 +135,14 @@ def test_queries_run(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for q in (language.query, toxicity.query, quality.query):
         assert q(spark, sf_dir).agg(F.count(F.lit(1))).first()[0] == n
+
+
+def test_toxicity_with_clashing_columns(spark):
+    from cairnfield.llm import toxicity
+
+    docs = spark.createDataFrame([(i, "nasty words here" if i % 2 else "kind words there", 5, 6) for i in range(40)], "doc_id long, text string, label int, score int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    chosen = toxicity.sample(docs, labels, "doc_id", "toxic")
+    assert {r.label for r in chosen.collect()} == {0, 1}
+    out = toxicity.score_texts(docs, toxicity.learn(chosen)).collect()
+    assert len(out) == 40 and all(0 <= r.score <= 1 and r.label == 5 for r in out)
