@@ -1,4 +1,4 @@
-"""Main text of HTML pages: a small event parser, applied to Arrow batches."""
+"""Main text of HTML pages: a small event parser builds a tree of blocks, which is pruned by density; applied to Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,7 +10,16 @@ DROPPED_TAGS = ("nav", "header", "footer", "aside", "form", "script", "style", "
 CONSENT_IDS = ("CybotCookiebotDialog", "onetrust-consent-sdk", "onetrust-banner-sdk", "cookie-banner", "cookie-notice")
 CONSENT_CLASSES = ("onetrust-pc-dark-filter", "cookie-consent", "cookie-banner")
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-BLOCK_TAGS = ("p", "div", "section", "article", "main", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "blockquote", "pre", "dl", "dt", "dd", "figure", "body")
+BLOCK_TAGS = ("p", "div", "section", "article", "main", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "blockquote", "pre", "dl", "dt", "dd", "figure", "body")
+
+# The score under which a block goes, and the words under which a line does.
+THRESHOLD, LEAST_WORDS = 0.5, 5
+#: Shares of a block's score: text against markup, text outside links, and its tag.
+DENSITY, LINKS, TAG = 0.4, 0.4, 0.2
+TAG_SCORES = {"article": 1.0, "main": 1.0, "p": 1.0, "pre": 1.0, "blockquote": 0.9, "section": 0.7, "body": 0.6, "h1": 0.9, "h2": 0.9, "h3": 0.8, "div": 0.5, "li": 0.4, "dd": 0.5, "ul": 0.3, "ol": 0.4, "table": 0.3, "tr": 0.3, "td": 0.3}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A threshold follows the page: no more than this share of its words' mean score.
+OF_MEAN = 0.8
 
 
 def _is_consent(attrs: dict) -> bool:
@@ -18,14 +27,51 @@ def _is_consent(attrs: dict) -> bool:
     return attrs.get("id") in CONSENT_IDS or any(c in CONSENT_CLASSES or "CookieDeclaration" in c for c in classes) or attrs.get("aria-label") == "cookieconsent"
 
 
+class _Block:
+    """An element that makes a block: lines of text and blocks in order, and what its text and markup come to, those inside included."""
+
+    __slots__ = ("tag", "parts", "chars", "linked", "markup", "words")
+
+    def __init__(self, tag: str):
+        self.tag, self.parts = tag, []
+        self.chars = self.linked = self.markup = self.words = 0
+
+    def score(self) -> float:
+        if not self.chars:
+            return 0.0
+        density = self.chars / (self.chars + self.markup)
+        return DENSITY * density + LINKS * (1 - self.linked / self.chars) + TAG * TAG_SCORES.get(self.tag, 0.4)
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
         self.title: list[str] = []
         self.in_title = False
         self.skipping: str | None = None
         self.depth = 0
+        self.links = 0
+        self.open = [_Block("body")]
+        self.line: list[str] = []
+        self.linked = 0
+
+    def end_line(self):
+        text = re.sub(r"\s+", " ", "".join(self.line)).strip()
+        if text:
+            block = self.open[-1]
+            block.parts.append(text)
+            block.chars += len(text)
+            block.words += len(text.split())
+            block.linked += min(self.linked, len(text))
+        self.line, self.linked = [], 0
+
+    def shut(self):
+        self.end_line()
+        block = self.open.pop()
+        outer = self.open[-1]
+        outer.parts.append(block)
+        for what in ("chars", "linked", "markup", "words"):
+            setattr(outer, what, getattr(outer, what) + getattr(block, what))
 
     def handle_starttag(self, tag, attrs):
         if self.skipping:
@@ -36,7 +82,14 @@ class _Page(HTMLParser):
             return
         self.in_title = tag == "title" and not self.title
         if tag in BLOCK_TAGS:
-            self.out.append("\n")
+            self.end_line()
+            if tag not in VOID_TAGS:
+                # a block ends an open paragraph, an item or cell its open predecessor
+                if self.open[-1].tag in ("p", *HEADINGS) or (tag in ("li", "td", "th", "dt", "dd", "tr") and self.open[-1].tag == tag):
+                    self.shut()
+                self.open.append(_Block(tag))
+        self.links += tag == "a"
+        self.open[-1].markup += len(self.get_starttag_text() or "")
 
     def handle_endtag(self, tag):
         if self.skipping:
@@ -44,22 +97,86 @@ class _Page(HTMLParser):
             if not self.depth:
                 self.skipping = None
             return
+        self.open[-1].markup += len(tag) + 3
         if tag == "title":
             self.in_title = False
+        elif tag == "a":
+            self.links = max(0, self.links - 1)
         elif tag in BLOCK_TAGS:
-            self.out.append("\n")
+            self.end_line()
+            if any(b.tag == tag for b in self.open[1:]):
+                while self.open[-1].tag != tag:
+                    self.shut()
+                self.shut()
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
         elif not self.skipping:
-            self.out.append(data)
+            self.line.append(data)
+            if self.links:
+                self.linked += len(data.strip())
+
+    def tree(self) -> _Block:
+        self.close()
+        self.end_line()
+        while len(self.open) > 1:
+            self.shut()
+        return self.open[0]
+
+
+def _lines(block: _Block) -> list[str]:
+    out, todo = [], [block]
+    while todo:  # pages may be nested deeper than Python's stack
+        part = todo.pop()
+        if isinstance(part, str):
+            out.append(part)
+        else:
+            todo.extend(reversed(part.parts))
+    return out
+
+
+def _mean_score(root: _Block) -> float:
+    """The mean of the scores of the innermost blocks, by words."""
+    total = words = 0.0
+    todo = [root]
+    while todo:
+        block = todo.pop()
+        own = sum(len(p.split()) for p in block.parts if isinstance(p, str))
+        total, words = total + own * block.score(), words + own
+        todo.extend(p for p in block.parts if not isinstance(p, str))
+    return total / words if words else 0.0
+
+
+def _kept(root: _Block) -> list[str]:
+    """The lines of blocks that score enough. Short lines stay if they are sentences of a longer block; headings if a line of their block follows."""
+    least = min(THRESHOLD, OF_MEAN * _mean_score(root))
+    out: list[str] = []
+    heads: list[tuple[str, int]] = []  # headings that wait for a line: text, and the number of their outer block
+    todo: list = [(root, root, 0)]
+    n = 0
+    while todo:
+        part, outer, of = todo.pop()
+        if isinstance(part, str):
+            words = len(part.split())
+            if outer.tag in HEADINGS:
+                heads.append((part, of))
+            elif words >= LEAST_WORDS or outer.tag == "pre" or (part[-1] in ".!?" and root.words >= 4 * LEAST_WORDS and outer.tag in ("p", "blockquote", "li", "dd")):
+                out += [h for h, _ in heads] + [part]
+                heads = []
+        elif part is root or part.tag in HEADINGS or part.score() >= least:
+            n += 1
+            todo.extend((p, part, n) for p in reversed(part.parts))
+    return out
+
 
+def main_text(html: str | None, prune: bool = True) -> tuple[str, str]:
+    """(title, text) of a page; blocks on lines of their own, spaces squeezed.
 
-def main_text(html: str | None) -> tuple[str, str]:
-    """(title, text) of a page; blocks on lines of their own, spaces squeezed."""
+    With prune, blocks of much markup or of links go, and short lines; a page of which nothing would stay keeps all.
+    """
     page = _Page()
     page.feed(html or "")
-    page.close()
-    lines = (re.sub(r"\s+", " ", line).strip() for line in "".join(page.out).split("\n"))
-    return re.sub(r"\s+", " ", "".join(page.title)).strip(), "\n".join(line for line in lines if line)
+    root = page.tree()
+    lines = (_kept(root) if prune else []) or _lines(root)
+    return re.sub(r"\s+", " ", "".join(page.title)).strip(), "\n".join(lines)

@@ -6,15 +6,20 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnfield.functions import text as tx
 from cairnfield.functions.text import terms
 
+from .stages import Stages
+
 K1, B = 1.2, 0.75
 RRF_K, PREFETCH, FRESH_DAYS = 60, 100, 7
 #: Queries whose vectors a task holds at once, and the number up to which a query table is broadcast.
 QUERY_BLOCK, BROADCAST_QUERIES = 2000, 100_000
+#: Distinct terms of all queries that become part of the scan of the texts.
+BROADCAST_TERMS = 20_000
 
 
 def top_per_query(scored: DataFrame, k: int, digits: int | None = 5, id_col: str = "chunk_id") -> DataFrame:
@@ -77,29 +82,52 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, vec_col: str = "ve
     return top_per_query(scored, k)
 
 
-def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(chunk_id, industry, term, tf, dl): one row for each distinct term of a chunk."""
-    docs = chunks.select(F.col(id_col).alias("chunk_id"), "industry", terms(F.col(text_col)).alias("t"))
-    return docs.select("chunk_id", "industry", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "industry", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(words: Column) -> Column:
+    """array of (term, tf), one for each distinct term."""
+    return tx.let(words, lambda all_: F.transform(F.array_distinct(all_), lambda w: F.struct(w.alias("term"), F.size(F.filter(all_, lambda x: x == w)).alias("tf"))))
+
+
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
 
+def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """BM25's share of a term's count: rises with the count, falls with the length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, scope: str = "industry", id_col: str = "id") -> DataFrame:
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.col("industry").alias("q_industry"), F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, scope: str = "industry", id_col: str = "id", stages: Stages | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of the query's vertical by BM25 over text, any term matching.
 
-    Statistics (number of chunks, mean length, document frequency) are those of the vertical, or with scope "corpus" of all.
-    Terms outside all queries are dropped before anything is grouped; rows are keyed by chunk, so that a frequent term is no hot key.
+    Statistics (number of chunks, mean length, document frequency) are those of the vertical, or with scope "corpus" of all. Texts are
+    cut into terms once: one scan keeps of each chunk its length and the counts of the terms that are asked for, as a narrow table that
+    statistics and scores read. Up to BROADCAST_TERMS terms (counted) are part of the scan; more are joined. Rows are keyed by
+    chunk, so that a frequent term is no hot key.
     """
-    asked = queries.select("query_id", F.col("industry").alias("q_industry"), F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    stages = stages or Stages(chunks.sparkSession)
+    asked = asked_terms(queries)
     vocabulary = asked.select("term").distinct()
-    docs = chunks.select(F.col(id_col).alias("chunk_id"), "industry", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    words = [r.term for r in vocabulary.limit(BROADCAST_TERMS + 1).collect()]
+    docs = chunks.select(F.col(id_col).alias("chunk_id"), "industry", terms(F.col("text")).alias("t"))
+    if len(words) <= BROADCAST_TERMS:
+        counted = docs.select("chunk_id", "industry", F.size("t").alias("dl"), term_counts(F.filter("t", lambda w: w.isin(*words))).alias("tfs"))
+    else:
+        rows = docs.select("chunk_id", "industry", F.size("t").alias("dl"), F.explode_outer(term_counts(F.col("t"))).alias("of"))
+        known = vocabulary.withColumnRenamed("term", "__t")
+        met = rows.join(known, F.col("of.term") == F.col("__t"), "left").withColumn("of", F.when(F.col("__t").isNotNull(), F.col("of")))
+        counted = met.groupBy("chunk_id", "industry", "dl").agg(F.collect_list("of").alias("tfs"))  # a chunk's terms
+    counted = stages.keep(counted)
     by = ["industry"] if scope == "industry" else []
-    whole = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = docs.select("chunk_id", "industry", "dl", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("chunk_id", "industry", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    whole = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = counted.select("chunk_id", "industry", "dl", F.explode("tfs").alias("of")).select("chunk_id", "industry", "dl", "of.term", "of.tf")
     df = tf.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     stats = df.join(whole, by) if by else df.crossJoin(F.broadcast(whole))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = tf.join(stats, [*by, "term"]).join(asked, "term").filter(F.col("q_industry").eqNullSafe(F.col("industry")))
+    weight = idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
     scored = hits.withColumn("w", weight).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
     return top_per_query(scored, k)
 

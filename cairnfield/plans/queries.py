@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import dates, text, urls
 from cairnfield.functions.encoders import QUERY_INSTRUCTION
 from cairnfield.functions.highlight import highlight
-from cairnfield.operators import answers, embed, evaluate, index, pages, rank, registry, retrieve, train
+from cairnfield.operators import answers, embed, evaluate, index, lexical, pages, rank, registry, retrieve, train
 from cairnfield.operators.chunking import spread
 from cairnfield.operators.stages import Stages, shared_dir
 from cairnfield.sources import snapshots
@@ -77,6 +77,17 @@ def dense_topk(spark, d):
     return retrieve.dense_topk(b.vector_queries(spark, d), b.vectors(spark, d), 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query(ORACLES["bm25_topk"])
+def lexical_index(spark, d):
+    """The same question to an index that was filled by one crawl and brought up to date by the next."""
+    store = lexical.LexicalIndex(spark, f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}", parts=8)
+    old, new = (side.withColumn("industry", F.lit("all")) for side in _sides(spark, d))
+    store.update(0, old, index.diff_chunks(old.limit(0), old))
+    store.update(1, new, index.diff_chunks(old, new))
+    asked = b.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("all").alias("industry"))
+    return store.topk(asked, 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
 def _fused(spark, d):
     asked, corpus = b.vector_queries(spark, d), b.vectors(spark, d)
     return retrieve.rrf_fuse(retrieve.dense_topk(asked, corpus, 100), retrieve.bm25_topk(asked, corpus, 100), top_k=50)
@@ -513,6 +524,19 @@ def filter_excluded(spark, d):
     return pages.filter_excluded(b.table(spark, d, "pages"), ["*spam*", "http://*/DE/*", "*.html"]).select("page_id")
 
 
+_BARE = "|".join(rf"<{t}\b.*?</{t}>" for t in ("script", "style", "title", "nav", "header", "footer", "aside", "form"))
+_BARE = rf"regexp_replace(regexp_replace(html, '(?is){_BARE}|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+_TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _sign, _name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("chr(39)", "&#x27;"), ("chr(39)", "&#39;"), ("&", "&amp;")):
+    _TITLE = f"replace({_TITLE}, '{_name}', {_sign if _sign.startswith('chr') else repr(_sign)})"
+
+
+@query(rf"SELECT page_id, coalesce(nullif(trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')), ''), url) AS title, trim({_BARE}) <> '' AS ok, CASE WHEN trim({_BARE}) = '' THEN 'empty markdown' END AS error FROM pages")
+def page_titles(spark, d):
+    """What the main-text job says of each page beside its text."""
+    return pages.extract_main_text(b.table(spark, d, "pages")).select("page_id", "title", "ok", "error")
+
+
 @query()
 def main_text(spark, d):
     out = pages.extract_main_text(b.table(spark, d, "pages"))

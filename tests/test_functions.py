@@ -90,6 +90,32 @@ def test_main_text():
     assert html.main_text(None) == ("", "")
 
 
+ARTICLE = "The committee set out how firms should report on their emissions, and what auditors are to look at in each of the three scopes."
+
+
+def test_link_lists_chrome_and_consent_tables_go_and_articles_stay():
+    links = "".join(f'<li><a href="/topic/{i}/a-long-path?x={i}">Topic number {i} of the site</a></li>' for i in range(12))
+    consent = "".join(f'<tr class="c r{i}"><td id="n{i}"><span class="k">_ga{i}</span></td><td><span class="p">Google</span></td><td><span class="d">2 years</span></td></tr>' for i in range(8))
+    page = f"""<html><head><title>Report</title></head><body>
+      <div class="share"><span>Share this</span></div>
+      <div class="menu"><ul>{links}</ul></div>
+      <article><h1>New rules</h1><p>{ARTICLE}</p><h2>Scope</h2><p>{ARTICLE} See <a href="/x">the annex</a> for more.</p><p>It is binding.</p><h2>Related</h2></article>
+      <div class="tb"><table>{consent}</table></div>
+      <div>Print</div></body></html>"""
+    assert html.main_text(page) == ("Report", f"New rules\n{ARTICLE}\nScope\n{ARTICLE} See the annex for more.\nIt is binding.")
+    assert "Topic number 3 of the site" in html.main_text(page, prune=False)[1]
+
+
+def test_main_text_of_odd_pages():
+    # nothing would stay: all does
+    assert html.main_text("<p>one</p><p>two</p>")[1] == "one\ntwo"
+    # unclosed paragraphs, stray ends, deep nesting, text without any block
+    assert html.main_text(f"<p>{ARTICLE}<p>{ARTICLE}</div></b>")[1] == f"{ARTICLE}\n{ARTICLE}"
+    assert html.main_text("<div>" * 3000 + ARTICLE)[1] == ARTICLE
+    assert html.main_text(ARTICLE)[1] == ARTICLE
+    assert html.main_text("<ul>" + "<li>item of a plain list that has no links at all" * 3 + "</ul>")[1].count("plain list") == 3
+
+
 def _query_terms(query):
     words = re.findall(r"[A-Za-z0-9][A-Za-z0-9\-']+", query.lower())
     return list(dict.fromkeys(w for w in words if len(w) > 2 and w not in highlight.STOP_WORDS))
