@@ -6,7 +6,7 @@ one-row sources spread out, too. All rows sorted by fractional rank and cut into
 shards in which each source has its share, give or take a row or two.
 
 Both ranks come from counts of buckets plus a row number inside a bucket, never from a sort of a whole
-source or table in one task: a source that holds a third of all rows is dealt over `buckets` groups.
+source or table in one task: a source that holds a third of all rows is dealt over `buckets` groups, as many as the rows ask for.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 SEED = "interleave-1"
+#: Least buckets of a source, and rows of a source that one bucket is meant for.
+BUCKETS, BUCKET_ROWS = 1024, 1_000_000
 
 
 def _uniform(col: Column) -> Column:
@@ -30,22 +32,24 @@ def assign_shards(
     source_col: str = "source",
     shards: int = 8,
     seed: str = SEED,
-    buckets: int = 1024,
+    buckets: int | None = None,
     tie_cols: tuple[str, ...] = (),
 ) -> DataFrame:
     """df with `shard` (0 .. shards-1) and `slot` (gapless from 0 in each shard); shard sizes differ by one at most.
 
-    A null source is a source of its own; null ids sort as the empty string. Rows of equal id and source are
-    ordered by tie_cols; rows equal in those, too, are interchangeable. An empty table gives no rows. Columns of df
-    named shard or slot are replaced; other columns pass through. buckets bounds the rows that one task sorts.
+    A null source is a source of its own; null ids count as the empty string. tie_cols are part of the seeded order, so rows of
+    equal or null ids spread, too; rows equal in those columns as well are interchangeable and stay together. An empty
+    table gives no rows. Columns of df named shard or slot are replaced; other columns pass through. buckets (by default from the counted
+    rows) deals a source's rows out over the tasks that sort them.
     """
+    buckets = buckets or max(BUCKETS, -(-df.count() // BUCKET_ROWS))
     work = ["__key", "__src", "__bucket", "__seen", "__n", "__rank", "__frac", "__cell", "__before", "__pos", "__total"]
     kept = [c for c in df.columns if c not in ("shard", "slot")]
     src = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     rows = (
         df.select(*kept)
         .withColumn("__src", src)
-        .withColumn("__key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
+        .withColumn("__key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in tie_cols))))
         .withColumn("__bucket", (_uniform(F.col("__key")) * buckets).cast("int"))
     )
     by_source = Window.partitionBy("__src")

@@ -85,9 +85,16 @@ def active_industry(pref_log: DataFrame, users: DataFrame, default: str = DEFAUL
     return users.select("user_id").distinct().join(latest, "user_id", "left").select("user_id", F.coalesce("m.active_industry", F.lit(default)).alias("active_industry"))
 
 
-def catalog_state(catalog: DataFrame, sources: DataFrame, prefs: DataFrame, user_id) -> DataFrame:
-    """The catalog with flags: loaded (it has seeds) and active (the user's choice)."""
+def catalog_states(catalog: DataFrame, sources: DataFrame, prefs: DataFrame, users: DataFrame) -> DataFrame:
+    """For each user (user_id): the catalog with flags loaded (it has seeds) and active (the user's choice). The catalog is small: it travels as one row."""
     loaded = loaded_industries(sources).select(F.col("industry").alias("__l"))
-    chosen = active_industry(prefs, prefs.sparkSession.createDataFrame([(user_id,)], prefs.select("user_id").schema)).select(F.col("active_industry").alias("__a"))
-    joined = catalog.join(loaded, F.col("id") == F.col("__l"), "left").join(F.broadcast(chosen), F.col("id") == F.col("__a"), "left")  # one row
-    return joined.select(*catalog.columns, F.col("__l").isNotNull().alias("loaded"), F.col("__a").isNotNull().alias("active"))
+    state = catalog.join(loaded, F.col("id") == F.col("__l"), "left").select(F.struct(*catalog.columns, F.col("__l").isNotNull().alias("loaded")).alias("entry"))
+    chosen = active_industry(prefs, users)
+    each = chosen.crossJoin(F.broadcast(state.agg(F.collect_list("entry").alias("entries")))).select("user_id", "active_industry", F.explode("entries").alias("entry"))  # one row
+    return each.select("user_id", *(F.col(f"entry.{c}").alias(c) for c in (*catalog.columns, "loaded")), (F.col("entry.id") == F.col("active_industry")).alias("active"))
+
+
+def catalog_state(catalog: DataFrame, sources: DataFrame, prefs: DataFrame, user_id) -> DataFrame:
+    """catalog_states() of one user, without the id."""
+    user = prefs.sparkSession.createDataFrame([(user_id,)], prefs.select("user_id").schema)
+    return catalog_states(catalog, sources, prefs, user).drop("user_id")

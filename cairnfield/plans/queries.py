@@ -492,11 +492,15 @@ def active_industry(spark, d):
     return registry.active_industry(_prefs(spark, d), b.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")))
 
 
-@query("WITH a AS (SELECT arg_max(event_type, (ts, event_type)) AS a FROM events WHERE user_id = 1) SELECT id, id IN (SELECT event_type FROM events WHERE value > 50) AS loaded, id = coalesce((SELECT a FROM a), 'esg') AS active FROM (SELECT DISTINCT event_type AS id FROM events UNION SELECT DISTINCT c_mktsegment FROM customer)")
+@query(
+    "WITH a AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS a FROM events GROUP BY 1), cat AS (SELECT DISTINCT event_type AS id FROM events UNION SELECT DISTINCT c_mktsegment FROM customer) "
+    "SELECT c_custkey AS user_id, id, id IN (SELECT event_type FROM events WHERE value > 50) AS loaded, id = coalesce(a, 'esg') AS active FROM customer LEFT JOIN a ON user_id = c_custkey CROSS JOIN cat"
+)
 def catalog_state(spark, d):
-    e = b.table(spark, d, "events")
-    catalog = e.select(F.col("event_type").alias("id")).union(b.table(spark, d, "customer").select("c_mktsegment")).distinct()
-    return registry.catalog_state(catalog, e.filter("value > 50").select(F.col("event_type").alias("industry")), _prefs(spark, d), 1)
+    """The catalog as each customer sees it."""
+    e, c = b.table(spark, d, "events"), b.table(spark, d, "customer")
+    catalog = e.select(F.col("event_type").alias("id")).union(c.select("c_mktsegment")).distinct()
+    return registry.catalog_states(catalog, e.filter("value > 50").select(F.col("event_type").alias("industry")), _prefs(spark, d), c.select(F.col("c_custkey").alias("user_id")))
 
 
 # ------------------------------------------------------------------------------ pages and links

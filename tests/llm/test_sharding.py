@@ -61,3 +61,14 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     sharding.write_shards(df, f"{tmp_path}/s", shards=4)
     back = spark.read.parquet(f"{tmp_path}/s")
     assert back.count() == 50 and back.select("shard").distinct().count() == 4
+
+
+def test_rows_of_null_and_equal_ids_spread(spark):
+    """The seeded key takes the tie columns, too: no bucket holds all rows of one id."""
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, null, 7L) as doc_id", "'s' as source", "id as size", "1 as shard", "2 as slot")
+    out = sharding.assign_shards(rows, shards=8, tie_cols=("size",))
+    assert {(r["shard"], r["count"]) for r in out.groupBy("shard").count().collect()} == {(s, 500) for s in range(8)}
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "size" in text
+    keys = rows.selectExpr("md5(concat_ws(':', 'interleave-1', coalesce(cast(doc_id as string), ''), cast(size as string))) as k")
+    assert keys.distinct().count() == 4000
