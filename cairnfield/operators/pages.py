@@ -12,6 +12,9 @@ from cairnfield.functions.html import main_text
 
 from .stages import shared_dir
 
+#: Pages of a level up to which they are sent to the link table, and the parts in which the links of one page are cut at first.
+BROADCAST_PAGES, SALTS = 200_000, 64
+
 
 def dedupe_pages(pages: DataFrame, order_col: str = "page_seq", url_col: str = "url") -> DataFrame:
     """One row for each canonical URL: the first crawled, failed or not. Its key is found before wide columns move."""
@@ -81,23 +84,48 @@ def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return found.select("page_url", urls.resolve_url(F.col("page_url"), F.col("raw")).alias("href"), "seq")
 
 
+def first_links(links: DataFrame, sources: DataFrame, cap: int, exclude=()) -> DataFrame:
+    """(src, dst): of each page in sources (url, distinct) its first `cap` links by URL that stay on its domain and match no exclude.
+
+    The link table is only filtered where it lies while the pages are few (counted). A page with very many links is cut in SALTS parts first.
+    """
+    few = sources.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
+    wanted = sources.select(F.col("url").alias("src"))
+    found = links.join(F.broadcast(wanted) if few else wanted, "src", "left_semi")
+    found = filter_excluded(found, exclude, "dst").filter(urls.source_domain(F.col("src")) == urls.source_domain(F.col("dst"))).select("src", "dst")
+    salted = found.withColumn("__s", F.pmod(F.xxhash64("dst"), F.lit(SALTS))).repartition("src", "__s").distinct()
+    for keys in (("src", "__s"), ("src",)):
+        salted = salted.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("dst"))).filter(F.col("__r") <= cap).drop("__r")
+    return salted.select("src", "dst")
+
+
 def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = 1, max_pages: int = 25, exclude=()) -> DataFrame:
     """(seed, url, depth): breadth-first over a link table (src, dst) from each seed, on its own domain, at most max_pages each.
 
-    A depth or max_pages column of seeds overrides the arguments. Order within a seed is (depth, url): reproducible,
-    where a live crawl's is not. Each level is checkpointed; levels are few.
+    A depth or max_pages column of seeds overrides the arguments where it is not null; of a repeated seed the largest limits hold; a null
+    seed has no pages. Order within a seed is (depth, url): reproducible, where a live crawl's is not. Each level takes what is left of a
+    seed's budget, and a seed without budget goes no further. Of a page only the first max_pages links by URL can matter, as those before
+    them are new or were reached, and both count against the budget: so a level makes at most max_pages squared rows a seed,
+    however many links a page has. Each level is checkpointed; levels are few.
     """
-    limits = seeds.select(F.col("url").alias("seed"), (F.col("depth") if "depth" in seeds.columns else F.lit(max_depth)).alias("max_depth"), (F.col("max_pages") if "max_pages" in seeds.columns else F.lit(max_pages)).alias("max_pages")).distinct()
-    deepest = limits.agg(F.max("max_depth")).first()[0] or 0
-    edges = filter_excluded(links, exclude, "dst").filter(urls.source_domain(F.col("src")) == urls.source_domain(F.col("dst"))).select("src", "dst").distinct()
-    reached = _checkpoint(limits.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth")))
-    for level in range(1, deepest + 1):
-        ends = reached.filter(F.col("depth") == level - 1).join(limits.filter(F.col("max_depth") >= level), "seed")
-        new = ends.join(edges, F.col("url") == F.col("src")).select("seed", F.col("dst").alias("url")).distinct()
-        new = new.join(reached.select("seed", "url"), ["seed", "url"], "left_anti").withColumn("depth", F.lit(level))
-        reached = _checkpoint(reached.unionByName(new))
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "url"))
-    return reached.withColumn("__r", rank).join(limits.select("seed", "max_pages"), "seed").filter("__r <= max_pages").select("seed", "url", "depth")
+    limit_of = lambda c, default: F.max(F.coalesce(F.col(c), F.lit(default)) if c in seeds.columns else F.lit(default)).alias(f"max_{c}" if c == "depth" else c)
+    limits = _checkpoint(seeds.filter("url is not null").groupBy(F.col("url").alias("seed")).agg(limit_of("depth", max_depth), limit_of("max_pages", max_pages)).filter("max_pages >= 1"))
+    deepest, cap = limits.agg(F.max("max_depth"), F.max("max_pages")).first()
+    ends = limits.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"))
+    reached = ends
+    for level in range(1, (deepest or 0) + 1):
+        used = reached.groupBy("seed").agg(F.count(F.lit(1)).alias("__used"))
+        open_ = limits.filter(F.col("max_depth") >= level).join(used, "seed").select("seed", (F.col("max_pages") - F.col("__used")).alias("__left")).filter("__left > 0")
+        going = _checkpoint(ends.select("seed", "url").join(open_, "seed"))
+        step = first_links(links, going.select("url").distinct(), cap, exclude)
+        new = going.join(step, F.col("url") == F.col("src")).select("seed", F.col("dst").alias("url"), "__left").distinct()
+        new = new.join(reached.select("seed", "url"), ["seed", "url"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("seed").orderBy("url"))
+        ends = _checkpoint(new.withColumn("__r", rank).filter("__r <= __left").select("seed", "url", F.lit(level).alias("depth")))
+        if ends.isEmpty():
+            break
+        reached = reached.unionByName(ends)
+    return reached
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ from .stages import Stages
 
 K1, B = 1.2, 0.75
 RRF_K, PREFETCH, FRESH_DAYS = 60, 100, 7
-#: Queries whose vectors a task holds at once, and the number up to which a query table is broadcast.
-QUERY_BLOCK, BROADCAST_QUERIES = 2000, 100_000
+#: Queries that a task multiplies at once, rows of a part of the chunks, and the bytes of vectors up to which queries are broadcast.
+QUERY_BLOCK, PART_ROWS, BROADCAST_BYTES = 2000, 50_000, 64 << 20
 #: Distinct terms of all queries that become part of the scan of the texts.
 BROADCAST_TERMS = 20_000
 
@@ -29,59 +29,76 @@ def top_per_query(scored: DataFrame, k: int, digits: int | None = 5, id_col: str
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def unit(vectors) -> np.ndarray:
+    """Rows of equal length as a matrix of length-one rows (zero stays zero)."""
+    m = np.stack(vectors).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+
+def best_of_tile(query_ids, asked: np.ndarray, ids, rows: np.ndarray, k: int) -> pd.DataFrame:
+    """(query_id, chunk_id, score): of each query the k best rows by rounded score, then id; scores that are no number are left out."""
+    score = asked @ rows.T
+    near = np.nan_to_num(np.round(score, 5), nan=-np.inf)
+    # everything that rounds to the k-th best score or better stays until ties are settled by id
+    cutoff = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(asked), -np.inf)
+    r, c = np.nonzero((near >= cutoff[:, None]) & (near > -np.inf))
+    order = np.lexsort((ids[c], -near[r, c], r))
+    r, c = r[order], c[order]
+    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+    r, c = r[first], c[first]
+    return pd.DataFrame({"query_id": np.asarray(query_ids)[r], "chunk_id": ids[c], "score": score[r, c]})
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, vec_col: str = "vec", dense_col: str = "dense", id_col: str = "id", blocks: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k chunks of highest cosine in the query's vertical. Exact.
 
-    Queries are packed into blocks of a bounded size; each chunk batch is multiplied with a block at a time and only its best k per
-    query are shuffled. The block table is broadcast while the queries are few (checked); more are dealt out by a join on block number.
+    While the vectors of the queries are few bytes (counted) they travel to the chunks as one matrix a vertical, and each chunk batch is
+    multiplied with QUERY_BLOCK of them at a time; only its best k per query are shuffled. More queries are dealt out in blocks, which
+    meet parts of the chunks of a bounded number of rows. Rows without a vector or a vertical take no part.
+    DenseIndex (dense.py) gives the same rows and reads only clusters that can hold one of them.
     """
     spark = queries.sparkSession
-    n = queries.count()
-    n_blocks = blocks or max(1, -(-n // QUERY_BLOCK))
-    q = queries.select("query_id", "industry", F.col(vec_col).cast("array<double>").alias("vec")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    packed = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "industry", "vec")).alias("members"))
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), "industry", F.col(dense_col).cast("array<double>").alias("dense"))
+    q = queries.select("query_id", "industry", F.col(vec_col).cast("array<double>").alias("vec")).filter("vec is not null and industry is not null")
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), "industry", F.col(dense_col).cast("array<double>").alias("dense")).filter("dense is not null and industry is not null")
     kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)[id_col]
+    schema = f"query_id {kind[0]}, chunk_id {kind[1]}, score double"
+    n, width = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
 
-    def multiply(members: list, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for industry, part in pdf.groupby("industry", dropna=False):
-            mine = [m for m in members if m["industry"] == industry]
-            if not mine:
-                continue
-            a, b = np.array([m["vec"] for m in mine]), np.stack(part["dense"].to_numpy())
-            a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-30)
-            b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-30)
-            score = a @ b.T
-            ids = part["chunk_id"].to_numpy()
-            # everything that rounds to the k-th best score or better stays, so that ties are settled after the shuffle
-            near = np.round(score, 5)
-            cutoff = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(a), -np.inf)
-            r, c = np.nonzero(near >= cutoff[:, None])
-            order = np.lexsort((ids[c], -near[r, c], r))
-            r, c = r[order], c[order]
-            first = np.arange(len(r)) - np.searchsorted(r, r) < k
-            r, c = r[first], c[first]
-            out.append(pd.DataFrame({"query_id": [mine[i]["query_id"] for i in r], "chunk_id": ids[c], "score": score[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+    def multiply(asked: dict, pdf: pd.DataFrame):
+        for industry, part in pdf.groupby("industry"):
+            if industry in asked:
+                ids, m = asked[industry]
+                mine, names = unit(part["dense"].to_numpy()), part["chunk_id"].to_numpy()
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    yield best_of_tile(ids[at : at + QUERY_BLOCK], m[at : at + QUERY_BLOCK], names, mine, k)
 
-    schema = f"query_id {kind[0]}, chunk_id {kind[1]}, score double"
-    if n <= BROADCAST_QUERIES:
-        shipped = spark.sparkContext.broadcast([[m.asDict() for m in r.members] for r in packed.collect()])  # n is bounded
+    if n * width * 8 <= BROADCAST_BYTES:
+        shipped = spark.sparkContext.broadcast(by_industry(q.toPandas()))  # bounded by the line above
 
         def run(batches):
             for pdf in batches:
-                for members in shipped.value:
-                    yield multiply(members, pdf)
+                yield from multiply(shipped.value, pdf)
 
-        scored = rows.filter("dense is not null").mapInPandas(run, schema)
+        scored = rows.mapInPandas(run, schema)
     else:
-        dealt = rows.filter("dense is not null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(64)))
-        sides = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        scored = sides.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInPandas(lambda a, b: multiply(list(a["members"].iloc[0]) if len(a) else [], b), schema)
+        n_blocks, n_parts = blocks or -(-n // QUERY_BLOCK), max(1, -(-rows.count() // PART_ROWS))
+        each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        mine = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn("part", each(n_parts))
+        dealt = rows.withColumn("block", each(n_blocks)).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(n_parts)).cast("int"))
+
+        def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = list(multiply(by_industry(a), b))
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+
+        scored = mine.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInPandas(tile, schema)
     return top_per_query(scored, k)
 
 
+def by_industry(q: pd.DataFrame) -> dict:
+    """{industry: (query ids, matrix)} of query rows."""
+    return {industry: (part["query_id"].to_numpy(), unit(part["vec"].to_numpy())) for industry, part in q.groupby("industry")}
+
+
 def term_counts(words: Column) -> Column:
     """array of (term, tf), one for each distinct term."""
     return tx.let(words, lambda all_: F.transform(F.array_distinct(all_), lambda w: F.struct(w.alias("term"), F.size(F.filter(all_, lambda x: x == w)).alias("tf"))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import dates, text, urls
 from cairnfield.functions.encoders import QUERY_INSTRUCTION
 from cairnfield.functions.highlight import highlight
-from cairnfield.operators import answers, embed, evaluate, index, lexical, pages, rank, registry, retrieve, train
+from cairnfield.operators import answers, dense, embed, evaluate, index, lexical, pages, rank, registry, retrieve, train
 from cairnfield.operators.chunking import spread
 from cairnfield.operators.stages import Stages, shared_dir
 from cairnfield.sources import snapshots
@@ -77,6 +77,13 @@ def dense_topk(spark, d):
     return retrieve.dense_topk(b.vector_queries(spark, d), b.vectors(spark, d), 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query(ORACLES["dense_topk"])
+def dense_index(spark, d):
+    """The same question to a stored index by clusters, of which only those are read that can hold a result."""
+    store = dense.DenseIndex(spark, f"{shared_dir(spark)}/dense-{uuid.uuid4().hex}").build(b.vectors(spark, d))
+    return store.topk(b.vector_queries(spark, d), 10)[0].select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query(ORACLES["bm25_topk"])
 def lexical_index(spark, d):
     """The same question to an index that was filled by one crawl and brought up to date by the next."""

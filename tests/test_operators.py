@@ -60,6 +60,32 @@ def test_links_frontier_and_pdfs(spark):
     assert sorted(got) == ["http://a.org/1.PDF", "http://a.org/1.pdf", "http://cdn.net/2.pdf"]
 
 
+def test_frontier_budgets_and_hubs(spark):
+    """Against breadth-first search by hand; a hub of very many links makes no more rows than the budget."""
+    hub = [("http://h.org/", f"http://h.org/{i:06d}") for i in range(100_000)]
+    rng = np.random.default_rng(5)
+    web = [(f"http://w.org/{a}", f"http://w.org/{z}") for a, z in rng.integers(0, 60, size=(240, 2))]
+    links = spark.createDataFrame([*hub, *web, ("http://h.org/000001", "http://h.org/a"), ("http://h.org/", None)], "src string, dst string").repartition(8)
+    plan = [("http://h.org/", 2, 30), ("http://w.org/1", 3, 9), ("http://w.org/2", 3, 500), ("http://w.org/3", 1, 1), ("http://w.org/4", 0, 5), ("http://w.org/5", 2, 0), (None, 1, 5), ("http://w.org/6", None, None)]
+    seeds = spark.createDataFrame(plan, "url string, depth int, max_pages int")
+    assert pages.first_links(links, spark.createDataFrame([("http://h.org/",)], "url string"), 30).count() == 30
+    after = {}
+    for a, z in (*hub, *web, ("http://h.org/000001", "http://h.org/a")):
+        after.setdefault(a, set()).add(z)
+    want = set()
+    for seed, depth, most in plan:
+        depth, most = (2, 4) if depth is None else (depth, most)
+        known, level = ([seed], [seed]) if seed and most else ([], [])
+        want |= {(seed, u, 0) for u in known}
+        for at in range(1, depth + 1):
+            level = sorted({z for u in level for z in after.get(u, ())} - set(known))[: most - len(known)]
+            known += level
+            want |= {(seed, u, at) for u in level}
+    got = [tuple(r) for r in pages.crawl_frontier(seeds, links, 2, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert pages.crawl_frontier(seeds.limit(0), links).count() == 0
+
+
 def test_conditional_split(spark):
     log = spark.createDataFrame([("a", 304, None, None, None), ("b", 200, "e2", "m2", None), ("c", None, None, None, "timeout"), ("d", 304, None, None, None)], "url string, status int, etag string, last_modified string, error string")
     src = spark.createDataFrame([("a", 0, "e1", None), ("b", 0, "e1", "m1"), ("c", 0, "e1", None), ("d", 1, "e1", None), ("x", 0, None, None)], "url string, depth int, etag string, last_modified string")
@@ -120,10 +146,10 @@ def test_dense_topk_is_exact_and_scoped(spark):
     asked = spark.createDataFrame([(q, "ab"[q % 2], vecs[q]) for q in range(6)], "query_id long, industry string, vec array<float>")
     a = np.array(vecs, dtype=np.float32).astype(float)
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    for blocks, limit in ((None, retrieve.BROADCAST_QUERIES), (3, 0)):
-        retrieve.BROADCAST_QUERIES, kept = limit, retrieve.BROADCAST_QUERIES
+    for blocks, limit in ((None, retrieve.BROADCAST_BYTES), (3, 0)):
+        retrieve.BROADCAST_BYTES, kept = limit, retrieve.BROADCAST_BYTES
         got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieve.dense_topk(asked, chunks, 5, blocks=blocks).collect()}
-        retrieve.BROADCAST_QUERIES = kept
+        retrieve.BROADCAST_BYTES = kept
         for q in range(6):
             want = sorted((i for i in range(60) if i % 2 == q % 2), key=lambda i: (-round(float(a[q] @ a[i]), 5), i))[:5]
             assert [got[q, r] for r in range(1, 6)] == want
