@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import dates, text, urls
 from cairnfield.functions.html import main_text
 
-from .stages import shared_dir
+from .stages import Stages
 
 #: Pages of a level up to which they are sent to the link table, and the parts in which the links of one page are cut at first.
 BROADCAST_PAGES, SALTS = 200_000, 64
@@ -84,12 +84,13 @@ def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return found.select("page_url", urls.resolve_url(F.col("page_url"), F.col("raw")).alias("href"), "seq")
 
 
-def first_links(links: DataFrame, sources: DataFrame, cap: int, exclude=()) -> DataFrame:
+def first_links(links: DataFrame, sources: DataFrame, cap: int, exclude=(), count: int | None = None) -> DataFrame:
     """(src, dst): of each page in sources (url, distinct) its first `cap` links by URL that stay on its domain and match no exclude.
 
-    The link table is only filtered where it lies while the pages are few (counted). A page with very many links is cut in SALTS parts first.
+    The link table is only filtered where it lies while the pages are few (count: a bound that the caller knows, else they are counted).
+    A page with very many links is cut in SALTS parts first.
     """
-    few = sources.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
+    few = (sources.limit(BROADCAST_PAGES + 1).count() if count is None else count) <= BROADCAST_PAGES
     wanted = sources.select(F.col("url").alias("src"))
     found = links.join(F.broadcast(wanted) if few else wanted, "src", "left_semi")
     found = filter_excluded(found, exclude, "dst").filter(urls.source_domain(F.col("src")) == urls.source_domain(F.col("dst"))).select("src", "dst")
@@ -106,33 +107,30 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = 1, max_p
     seed has no pages. Order within a seed is (depth, url): reproducible, where a live crawl's is not. Each level takes what is left of a
     seed's budget, and a seed without budget goes no further. Of a page only the first max_pages links by URL can matter, as those before
     them are new or were reached, and both count against the budget: so a level makes at most max_pages squared rows a seed,
-    however many links a page has. Each level is checkpointed; levels are few.
+    however many links a page has. Each level is a stored table; levels are few.
     """
+    stages = Stages(seeds.sparkSession)
     limit_of = lambda c, default: F.max(F.coalesce(F.col(c), F.lit(default)) if c in seeds.columns else F.lit(default)).alias(f"max_{c}" if c == "depth" else c)
-    limits = _checkpoint(seeds.filter("url is not null").groupBy(F.col("url").alias("seed")).agg(limit_of("depth", max_depth), limit_of("max_pages", max_pages)).filter("max_pages >= 1"))
+    limits = stages.keep(seeds.filter("url is not null").groupBy(F.col("url").alias("seed")).agg(limit_of("depth", max_depth), limit_of("max_pages", max_pages)).filter("max_pages >= 1"))
     deepest, cap = limits.agg(F.max("max_depth"), F.max("max_pages")).first()
     ends = limits.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"))
-    reached = ends
+    reached, count = ends, limits.count()
     for level in range(1, (deepest or 0) + 1):
         used = reached.groupBy("seed").agg(F.count(F.lit(1)).alias("__used"))
         open_ = limits.filter(F.col("max_depth") >= level).join(used, "seed").select("seed", (F.col("max_pages") - F.col("__used")).alias("__left")).filter("__left > 0")
-        going = _checkpoint(ends.select("seed", "url").join(open_, "seed"))
-        step = first_links(links, going.select("url").distinct(), cap, exclude)
+        going = ends.select("seed", "url").join(open_, "seed")
+        step = first_links(links, going.select("url").distinct(), cap, exclude, count)
         new = going.join(step, F.col("url") == F.col("src")).select("seed", F.col("dst").alias("url"), "__left").distinct()
         new = new.join(reached.select("seed", "url"), ["seed", "url"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("seed").orderBy("url"))
-        ends = _checkpoint(new.withColumn("__r", rank).filter("__r <= __left").select("seed", "url", F.lit(level).alias("depth")))
-        if ends.isEmpty():
+        ends = stages.keep(new.withColumn("__r", rank).filter("__r <= __left").select("seed", "url", F.lit(level).alias("depth")))
+        count = ends.count()
+        if not count:
             break
         reached = reached.unionByName(ends)
     return reached
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def harvest_pdf_links(seeds: DataFrame, links: DataFrame, max_pdfs: int = 4) -> DataFrame:
     """(seed, url): PDF links of a seed's pages on its own domain or an allowed host, first seen first, capped per seed.
 
