@@ -73,19 +73,26 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
 
 
 def _ranked(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string over a large alphabet, by doubling ranks."""
-    rank, k = names.astype(np.int64), 1
-    n = len(rank)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        k *= 2
+    """Order of the suffixes of a string over a large alphabet, by doubling ranks. Only suffixes that still share a rank are sorted again.
+
+    The rank of a group is the place of its first suffix in the order, so those of single suffixes stay as they are.
+    """
+    n = len(names)
+    order = np.argsort(names)  # equal names are one group, in any order
+    rank, key = np.zeros(n + 1, np.int64), names[order]
+    open_, k = np.arange(n), 0
+    while len(open_):
+        if k:
+            at = order[open_]
+            key = rank[at] * (n + 2) + np.where(at + k < n, rank[np.minimum(at + k, n)] + 1, 0)
+            sort = np.argsort(key)
+            key = key[sort]
+            order[open_] = at[sort]
+        new = np.append(True, key[1:] != key[:-1])
+        rank[order[open_]] = np.maximum.accumulate(np.where(new, open_, 0))
+        open_ = open_[~(new & np.append(new[1:], True))]
+        k = max(1, k * 2)
+    return order
 
 
 def _prefix_sums(s: np.ndarray) -> np.ndarray:
@@ -159,8 +166,10 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, starts: np.ndarray, counts
         length[j < 0] = 0
         reach = np.minimum(n - np.maximum(i, j), most)
         reach[j < 0] = 0
+        more = np.flatnonzero(length < reach)
+        more = more[s[i[more] + length[more]] == s[j[more] + length[more]]]  # most suffixes end here: one symbol settles them
         for step in STRIDES:
-            grow = np.flatnonzero(length + step <= reach)
+            grow = more[length[more] + step <= reach[more]]
             while len(grow):
                 now = length[grow]
                 grow = grow[of(i[grow] + now, step) == of(j[grow] + now, step)]
