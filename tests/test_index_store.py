@@ -1,5 +1,6 @@
 """The index on disk, the stream over it, and windows as slices."""
 
+import hashlib
 import itertools
 from datetime import datetime, timedelta
 
@@ -160,6 +161,18 @@ def test_rollup_names_few_errors_and_counts_all(spark):
     assert index.run_errors(df).count() == 301
 
 
+def test_rollup_digests_all_errors(spark, monkeypatch):
+    monkeypatch.setattr(index, "PIECE", 100)
+    names = [("s1", f"u{i % 250:04d}") for i in range(300)] + [(None, "z"), ("s2", None)]
+    rows = [(s, u, False, False, 0, 0, 0, 0, "boom") for s, u in names] + [("s3", "a", True, False, 1, 0, 0, 1, None)]
+    df = spark.createDataFrame(rows, "source_url string, url string, ok boolean, not_modified boolean, changed int, skipped int, removed int, chunks int, error string")
+    got = {(r.source_url, r.is_run): r.errors_sha256 for r in index.run_rollup(df).collect()}
+    line = lambda u: f"{u}: boom" if u else "boom"
+    sha = lambda lines: hashlib.sha256(",".join(sorted(lines)).encode()).hexdigest()
+    want = {(s, 0): sha(line(u) for t, u in names if t == s) for s in ("s1", "s2", None)}
+    assert got == want | {("s3", 0): sha([]), (None, 1): sha(line(u) for _, u in names)}
+
+
 def test_windows_are_slices_of_the_normalised_text(spark):
     text = "Title\n\nFirst line here.\nSecond  line\there; third piece\n\n\n\nend  "
     docs = spark.createDataFrame([("u", text, 1), ("v", None, 2), ("w", " \n ", 3), ("x", "one", 4)], "url string, text string, ordinal int")
