@@ -48,6 +48,16 @@ def test_against_brute_force(spark, options):
     check(spark, texts(), 20, **options)
 
 
+def test_each_window_is_in_the_context_of_its_anchor_alone():
+    rng = np.random.default_rng(3)
+    for symbols in (250, 2):
+        data = rng.integers(0, symbols, 900).astype(np.uint8)
+        _, _, at, back, rest = suffix_dedup.anchors(data, 100)
+        windows = [a - b + w for a, b, r in zip(at.tolist(), back.tolist(), rest.tolist(), strict=True) for w in range(b + r - 100 + 1)]
+        assert sorted(windows) == list(range(801))
+        assert (back >= 0).all() and (rest >= 50).all()
+
+
 def test_repeated_rows_repeat_each_other(spark):
     df = spark.createDataFrame([(1, "x" + "abcdefghij" * 3, 0)] * 2 + [(None, None, 0)], SCHEMA)
     out = suffix_dedup.remove_repeats(df, 30).collect()
