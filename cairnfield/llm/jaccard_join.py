@@ -6,7 +6,8 @@ is chosen by estimated cost: a longer prefix meets more postings, but asks for l
 verified; documents whose short prefix is full of frequent shingles take a larger l. A pair is a candidate if it shares
 min(l, l') shingles of both prefixes; candidates are verified on whole sets.
 
-Shingles meet within size classes alone, as sets of very unequal size cannot be similar. Each set also has a parity sketch (which
+Shingles meet within size classes alone, as sets of very unequal size cannot be similar; a shared shingle counts once for a pair,
+and only at places of the order that leave room for enough others on both sides. Each set also has a parity sketch (which
 of 64 * PARITIES classes hold an odd number of its shingles): two sketches differ in no more bits than the sets differ in shingles, so
 that most unrelated sets part inside the join, and no similar ones.
 
@@ -34,7 +35,7 @@ CHUNK_SHINGLES, LEAST_LOCAL, FREQUENT = 4_000_000, 3, 500_000
 #: The cost of verifying a candidate, in postings.
 VERIFY_COST = 20.0
 #: Longs of a set's parity sketch, and bytes of the larger one that a candidate has to pass before texts move.
-PARITIES, WIDE = 4, 512
+PARITIES, WIDE = 8, 512
 #: Rounds in which each key's items are compared with one of them, before all that are still apart are.
 STARS = 6
 #: Documents up to which a list of wanted ids is broadcast (some 50 MB); beyond it documents are shuffled.
@@ -153,7 +154,7 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
         for batch in batches:
             data, off = shared.utf8(batch.column(0))
             for i, j in shared.blocks(off):
-                keys, nodes, sizes, matches = [], [], [], []
+                keys, nodes, sizes, matches, places = [], [], [], [], []
                 for s in shared.sets_of(data[off[i]: off[j]], off[i: j + 1], k):
                     d = digest(s)
                     if not len(s) or d in seen:
@@ -164,13 +165,14 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
                     nodes.append(np.full(len(p), d))
                     sizes.append(np.full(len(p), len(s)))
                     matches.append(np.full(len(p), m))
+                    places.append(np.arange(len(p)))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if keys:
-                    cols = [np.concatenate(x) for x in (keys, nodes, sizes, matches)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["key", "node", "size", "matches"])
+                    cols = [np.concatenate(x) for x in (keys, nodes, sizes, matches, places)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1]), *(pa.array(x.astype(np.int32)) for x in cols[2:])], names=["key", "node", "size", "matches", "place"])
 
-    postings = docs.select("__text").mapInArrow(prefixes, "key long, node long, size int, matches int")
+    postings = docs.select("__text").mapInArrow(prefixes, "key long, node long, size int, matches int, place int")
     def several(postings: DataFrame) -> DataFrame:
         """Those whose key has several nodes."""
         keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("__k"))
@@ -179,10 +181,11 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
         return out
 
     # Equal sets of different tasks give equal rows; keys of one class alone are dropped.
-    postings = several(scratch.keep(postings.groupBy("key", "node").agg(F.min("size").alias("size"), F.min("matches").alias("matches"))))
+    postings = several(scratch.keep(postings.groupBy("key", "node").agg(F.min("size").alias("size"), F.min("matches").alias("matches"), F.min("place").alias("place"))))
     # Sets of linked documents differ in size by at most the similarity: they share a size class, or neighbouring ones.
     level = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) + 1e-6) if percent < 100 else F.col("size")
-    leveled = postings.select(F.explode(F.array(F.xxhash64("key", level), F.xxhash64("key", level + 1))).alias("key"), "node", "size", "matches")
+    both = F.array(*(F.struct(F.xxhash64("key", level + up).alias("key"), F.lit(bool(up)).alias("up")) for up in (0, 1)))
+    leveled = postings.select(F.explode(both).alias("of"), "node", "size", "matches", "place").select("of.key", "of.up", "node", "size", "matches", "place")
     leveled = several(leveled)
     scratch.drop(postings)
     # nodes with their sketches: classes are few, their postings many
@@ -221,7 +224,12 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
         # sets of a similarity differ in at most this share of their shingles
         apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in sketch), F.lit(0))
         sizes = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
-        return sizes & (apart * (100 + percent) <= (F.col("a_size") + F.col("b_size")) * (100 - percent))
+        # sets of one class meet in it alone, not in the one above again
+        once = ~(F.col("a_up") & F.col("b_up"))
+        # what can be shared before this shingle, and from it on
+        most = F.least("a_place", "b_place") + F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+        room = most * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
+        return once & sizes & room & (apart * (100 + percent) <= (F.col("a_size") + F.col("b_size")) * (100 - percent))
 
     def matches():
         return F.least("a_matches", "b_matches")

@@ -60,3 +60,22 @@ def test_parity_sketches_never_part_more_than_the_sets():
         for size in (32, jaccard_join.WIDE):
             apart = int(np.bitwise_count(jaccard_join.parities(a, size) ^ jaccard_join.parities(b, size)).sum())
             assert apart <= len(np.setxor1d(a, b))
+
+
+def test_a_pair_meets_once_for_each_shingle_that_both_prefixes_share(spark, monkeypatch):
+    rng = random.Random(13)
+    words = [f"w{rng.randint(0, 9999)}" for _ in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"])]
+    met, clusters = [], components.clusters
+
+    def watched(postings, near, *rest):
+        sides = [postings.select("key", *(postings[c].alias(f"{x}_{c}") for c in postings.columns if c != "key")) for x in "ab"]
+        met.append(sides[0].join(sides[1], "key").filter("a_node < b_node").filter(near()).count())
+        return clusters(postings, near, *rest)
+
+    monkeypatch.setattr(components, "clusters", watched)
+    check(spark, list(enumerate(texts)))
+    none = np.zeros(0, np.uint64)
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    prefixes = [jaccard_join.prefix(next(shared.sets_of(d, np.array([0, len(d)]), 3)), none, none, 90)[0] for d in data]
+    assert met == [len(np.intersect1d(*prefixes))] and met[0] > 0
