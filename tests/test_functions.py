@@ -90,6 +90,11 @@ def test_main_text():
     assert html.main_text(None) == ("", "")
 
 
+@pytest.mark.parametrize(("written", "title"), [("the&amp;&amp", "the&&amp"), ("A &lt;b&gt; &amp;amp &quot", 'A <b> &amp &quot'), ("&ampx; R&D &#39;&#x27; &#39", "&ampx; R&D '' &#39"), ("Caf&eacute; &amp;lt;", "Café &lt;")])
+def test_only_whole_references_of_a_title_are_read(written, title):
+    assert html.main_text(f"<head><TITLE id=t>{written}</TITLE></head><p>R&ampD &copy") == (title, "R&D ©")
+
+
 ARTICLE = "The committee set out how firms should report on their emissions, and what auditors are to look at in each of the three scopes."
 
 
