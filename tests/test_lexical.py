@@ -1,6 +1,10 @@
 import random
 
-from cairnfield.operators import index, lexical, retrieve
+import numpy as np
+import pandas as pd
+import pytest
+
+from cairnfield.operators import bm25, index, lexical, retrieve
 
 CHUNKS = "id string, industry string, text string"
 WORDS = [f"w{i}" for i in range(60)]
@@ -73,3 +77,40 @@ def test_many_terms_are_joined(spark, monkeypatch):
     few = retrieve.bm25_topk(asked, rows, 4)
     monkeypatch.setattr(retrieve, "BROADCAST_TERMS", 3)
     same(few, retrieve.bm25_topk(asked, rows, 4))
+
+
+@pytest.mark.parametrize("scope", ["industry", "corpus"])
+def test_chunks_stay_where_they_lie(spark, monkeypatch, scope):
+    """No row for a term of a chunk, or for a pair of chunk and query, is shuffled, and the rows are those of the join."""
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(f"c{i:03}", "ab"[i % 2] if i % 9 else None, text(rng)) for i in range(200)] + [(f"d{i}", "a", "w1 w1 w59") for i in range(9)] + [("e", "a", None)], CHUNKS)
+    asked = spark.createDataFrame([(q, text(rng), "ab"[q % 2] if q % 5 else None) for q in range(14)] + [(98, "w1 w59 w59", "a"), (None, "w59", "b"), (99, "", "a")], "query_id long, query string, industry string")
+    order = lambda df: sorted((r.query_id or -1, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
+    with monkeypatch.context() as m:
+        m.setattr(retrieve, "BROADCAST_ASKED", 0)
+        want = order(retrieve.bm25_topk(asked, rows, 6, scope=scope))
+    found = retrieve.bm25_topk(asked, rows, 6, scope=scope)
+    assert order(found) == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_that_are_multiplied_count_as_those_that_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(6)
+    query, term = rng.integers(0, 9, 60), rng.integers(0, 20, 60)
+    df = pd.Series(rng.integers(1, 40, 18), index=range(18))  # two terms occur nowhere
+    lists = [np.sort(rng.choice(20, rng.integers(0, 9), replace=False)) for _ in range(40)]
+    off, terms = np.cumsum([0, *map(len, lists)]), np.concatenate(lists)
+    tfs, dl = rng.integers(1, 5, len(terms)).astype(float), np.array([len(x) + 3 for x in lists])
+    want = np.zeros((40, 9))
+    for c in range(40):
+        for t, tf in zip(lists[c], tfs[off[c] : off[c + 1]], strict=True):
+            for q in query[term == t]:
+                want[c, q] += t < 18 and np.log(1 + 60 / df[t]) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl[c] / 8.0))
+    for share, cells in ((-1, 7), (2, 7), (0.01, 1 << 21), (2, 1 << 21)):
+        monkeypatch.setattr(bm25, "DENSE_SHARE", share)
+        monkeypatch.setattr(bm25, "CELLS", cells)
+        asked = bm25.Asked(query, term, np.log(1 + 60 / df), df, 40, 8.0)
+        got = np.zeros((40, 9))
+        for first, out in asked.scores(terms, tfs, off, dl, 1.2, 0.75):
+            got[first : first + len(out), asked.queries] = out
+        assert np.allclose(got, want) and (len(asked.dense) > 0) == (share < 1)
