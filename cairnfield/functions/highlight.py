@@ -1,9 +1,11 @@
-"""The passage of a text that best answers a query, with its terms marked. Built-in expressions alone."""
+"""The passage of a text that best answers a query, with its terms marked. Built-in expressions alone, but for best_place()."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,31 @@ def term_hits(sentence: Column, terms: Column) -> Column:
     return let(F.lower(sentence), lambda s: F.aggregate(terms, F.lit(0), lambda n, t: n + ((F.length(s) - F.length(F.replace(s, t))) / F.length(t)).cast("int")))
 
 
+def best_sentence(parts, terms) -> int | None:
+    """The place, from 0, of the sentence (lower case) with most hits of the terms, as term_hits() counts them; the first of equals."""
+    if not len(parts):
+        return None
+    text = "\n".join(parts)  # a term holds no newline, so its places stay within sentences
+    found: list[int] = []
+    for term in terms:
+        at = text.find(term)
+        while at >= 0:
+            found.append(at)
+            at = text.find(term, at + len(term))
+    begins = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+    return int(np.bincount(np.searchsorted(begins, found, "right") - 1, minlength=len(parts)).argmax()) if found else 0
+
+
+def best_place(query: Column, text: Column) -> Column:
+    """What highlight() takes as `best`, where queries may be as long as texts: each term is looked for once in a text, not once a sentence."""
+
+    @F.pandas_udf("int")
+    def best(parts: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([best_sentence(p, t) for p, t in zip(parts, terms, strict=True)], dtype="Int32")
+
+    return best(F.transform(sentences(F.coalesce(text, F.lit(""))), F.lower), query_terms(F.coalesce(query, F.lit(""))))
+
+
 def grown(parts: Column, best: Column, size: int) -> Column:
     """(lo, hi), from 0: parts[best] with neighbours, right and left by turns, each while the whole is shorter than size.
 
@@ -71,16 +98,17 @@ def marked(safe: Column, terms: Column) -> Column:
     return F.when(F.size(terms) > 0, F.regexp_replace(safe, pattern, F.lit("<mark>$1</mark>"))).otherwise(safe)
 
 
-def highlight(query: Column, text: Column, size: int = WINDOW_CHARS) -> Column:
+def highlight(query: Column, text: Column, size: int = WINDOW_CHARS, best: Column | None = None) -> Column:
     """The sentence with most term hits (the first of equals), grown to about size characters, escaped, terms in <mark>.
 
-    Null queries and texts count as empty. A text without sentences gives its first characters.
+    Null queries and texts count as empty. A text without sentences gives its first characters. best: a column with best_place() of
+    the two; without it the hits are counted sentence by sentence.
     """
 
     def passage(parts: Column, terms: Column, whole: Column) -> Column:
         hits = F.transform(parts, lambda p: term_hits(p, terms))
-        best = let(hits, lambda h: F.array_position(h, F.array_max(h)).cast("int") - 1)
-        found = let(grown(parts, best, size), lambda w: F.array_join(F.slice(parts, w["lo"] + 1, w["hi"] - w["lo"] + 1), " "))
+        place = let(hits, lambda h: F.array_position(h, F.array_max(h)).cast("int") - 1) if best is None else best
+        found = let(grown(parts, place, size), lambda w: F.array_join(F.slice(parts, w["lo"] + 1, w["hi"] - w["lo"] + 1), " "))
         chosen = F.when(F.size(parts) > 0, cut(found, size + SLACK_CHARS)).otherwise(F.substring(whole, 1, size))
         return marked(escaped(chosen), terms)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions.encoders import OverlapScorer
-from cairnfield.functions.highlight import highlight
+from cairnfield.functions.highlight import best_place, highlight
 
 from .retrieve import dense_topk, hybrid_search, hydrate, top_per_query
 
@@ -49,9 +49,10 @@ def recency_prior(hits: DataFrame, as_of: datetime, max_boost: Column | float =
 def format_results(hits: DataFrame) -> DataFrame:
     """Result rows: rank, url, title (else the URL), org, source_type, score, highlight, fresh, published_at as text."""
     title = F.trim(F.coalesce("title", F.lit("")))
+    hits = hits.withColumn("__best", best_place(F.col("query"), F.col("text")))
     return hits.select(
         "query_id", "rank", "url", F.when(title != "", F.col("title")).otherwise(F.col("url")).alias("title"), "org", "source_type",
-        F.round("score", 4).alias("score"), highlight(F.col("query"), F.col("text")).alias("highlight"), "fresh",
+        F.round("score", 4).alias("score"), highlight(F.col("query"), F.col("text"), best=F.col("__best")).alias("highlight"), "fresh",
         F.date_format("published_at", "yyyy-MM-dd").alias("published_at"),
     )
 

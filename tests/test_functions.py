@@ -166,6 +166,24 @@ def test_highlight(spark):
     assert "<mark>Carbon</mark> <mark>rules</mark> &amp; <mark>carbon</mark> prices" in found[0]
 
 
+def test_best_place_is_that_of_the_native_count(spark):
+    """Each term is looked for once in a text: a long query on a long text takes no time for each pair of sentence and term."""
+    rng = random.Random(4)
+    words = ["ana", "anana", "banana", "x-ray", "it's", "Élan", "İna", "Kelvin", "na", "Ananas"]
+    rows = [("ana", None), (None, "ana. ana ana"), ("zzz", "One. Two."), ("ana", " \n "), ("ana banana", "anana.\nbanana ananana! ana")]
+    rows += [(" ".join(rng.choices(words, k=4)), "".join(rng.choice(words) + rng.choice([" ", " ", ". ", "\n", "? "]) for _ in range(60))) for _ in range(60)]
+    many = [f"w{i:04}" for i in range(2000)]
+    rows.append((" ".join(many), ". ".join(" ".join(rng.choices(many, k=5)) for _ in range(2000))))
+    df = spark.createDataFrame(rows, "q string, t string").withColumn("b", highlight.best_place(F.col("q"), F.col("t")))
+    found = df.select(highlight.highlight(F.col("q"), F.col("t"), best=F.col("b")).alias("h")).collect()
+    for (q, t), r in zip(rows[:-1], found, strict=False):
+        assert r.h == _highlight(q, t), (q, t)
+    assert found[-1].h.count("<mark>") > 20
+    parts = rows[-1][1].split(". ")
+    begins = [sum(p.count(t) for t in many) for p in parts]
+    assert highlight.best_sentence(parts, many) == begins.index(max(begins))
+
+
 def test_highlights_query_against_brute_force(spark, sf_dir):
     from cairnfield.plans.registry import QUERIES
 
