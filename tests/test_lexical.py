@@ -114,3 +114,16 @@ def test_terms_that_are_multiplied_count_as_those_that_are_looked_up(monkeypatch
         for first, out in asked.scores(terms, tfs, off, dl, 1.2, 0.75):
             got[first : first + len(out), asked.queries] = out
         assert np.allclose(got, want) and (len(asked.dense) > 0) == (share < 1)
+
+
+def test_an_id_is_stored_once_a_chunk(spark, tmp_path):
+    """Postings name chunks by their places; none is copied for a query, and no run stores terms a second time."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(f"c{i}", "a", text(rng)) for i in range(200)], CHUNKS)
+    store = lexical.LexicalIndex(spark, str(tmp_path), parts=2, blocks=4)
+    store.update(0, rows, index.diff_chunks(hashed(rows.limit(0)), hashed(rows)))
+    stored = spark.read.parquet(str(tmp_path / "postings"))
+    assert sorted(r.id for r in stored.select(F.explode("ids").alias("id")).collect()) == sorted(f"c{i}" for i in range(200))
+    assert not (tmp_path / "forward").exists()
