@@ -187,3 +187,19 @@ def test_a_subword_tokenizer_plugs_in(spark):
     rows = chunking.chunk_windows(docs, 3, 1, tokenize=lambda t: F.regexp_extract_all(t, F.lit("(?s).{1,2}"), F.lit(0))).orderBy("ordinal").collect()
     assert [(r.text, r.begin_char, r.end_char, r.token_count) for r in rows] == [("abcdef", 0, 6, 3), ("efgh i", 4, 10, 3), ("ij\nkl", 9, 14, 3), ("klm", 12, 15, 2)]
     assert all("abcdefgh ij\nklm"[r.begin_char : r.end_char] == r.text for r in rows)
+
+
+def test_vectors_are_made_above_all_joins(spark):
+    """What a crawl writes is joined before it is embedded, so that no vector of it is shuffled."""
+    from cairnfield.sources.readers import CHUNKS
+
+    old = spark.createDataFrame([], CHUNKS)
+    pages = spark.createDataFrame([], "source_url string, industry string, url string, title string, org string, source_type string, text string, ok boolean, error string, published_at timestamp")
+    chunks = old.drop("dense", "crawled_at")
+    out = index.apply_crawl(old, pages, chunks, index.diff_chunks(old, chunks), datetime(2024, 1, 1))
+    above: list[str] = []
+    for line in out._jdf.queryExecution().analyzed().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if len(x) - len(x.lstrip(" :+-")) < depth] + [line]
+        if "encode(" in line:
+            assert not any("Join" in x for x in above[:-1])
