@@ -203,3 +203,30 @@ def test_vectors_are_made_above_all_joins(spark):
         above = [x for x in above if len(x) - len(x.lstrip(" :+-")) < depth] + [line]
         if "encode(" in line:
             assert not any("Join" in x for x in above[:-1])
+
+
+def test_state_takes_one_row_of_many_versions(monkeypatch):
+    """The newest version is found in plain lists; of the frame only the row that passes is cut out."""
+    import pandas as pd
+
+    class State:
+        hasTimedOut, getOption, kept = False, None, None
+
+        def update(self, value):
+            self.kept = value
+
+        def setTimeoutTimestamp(self, _):
+            pass
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    rows = pd.DataFrame({"fetched_at": pd.to_datetime(["2024-01-01", "2024-01-03", "2024-01-03", "2024-01-09", "2024-01-02"]), "version_id": ["a", None, "b", "c", "d"], "ok": pd.Series([True, True, True, None, False], dtype=object)})
+    cut = []
+    whole = pd.DataFrame.iloc.fget if isinstance(pd.DataFrame.iloc, property) else pd.core.indexing.IndexingMixin.iloc.fget
+    monkeypatch.setattr(pd.DataFrame, "iloc", property(lambda self: cut.append(1) or whole(self)), raising=False)
+    state = State()
+    (found,) = ingest.newest_version(("u", "x"), iter([rows]), state)
+    assert found["version_id"].tolist() == ["b"] and state.kept[1] == "b" and len(cut) == 1
+    (failed,) = ingest.newest_version(("u", "x"), iter([rows[3:]]), State())
+    assert failed["version_id"].tolist() == ["c"]
